@@ -1,7 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text is the bag of the character n-grams (3 to 5, with marks at word ends) of its words, hashed into BUCKETS rows of an
-embedding. Their weighted average goes through a linear softmax over the classes. Embedding, softmax and bias are
+embedding. Their weighted average, with CALM of neutral weight so that few words decide less, goes through a linear
+softmax over the classes. Embedding, softmax and bias are
 trained together by Adagrad on cross-entropy. Words that were not seen, as new misspellings, share n-grams with words
 that were. n-grams that fewer than LEAST_DOCS texts of the sample have are left out. The average and the softmax's
 input are linear, so for scoring each bucket is reduced to its share of the log odds, and a text is scored in linear time.
@@ -25,7 +26,7 @@ from . import sparse, subwords
 from .common import bounded_sample, map_columns
 
 BUCKET_BITS, GRAMS, DIM = 17, (3, 4, 5), 8
-SAMPLE, LEAST_DOCS, EPOCHS, BATCH, RATE, DECAY = 1500, 5, 12, 64, 0.25, 1e-5
+SAMPLE, LEAST_DOCS, EPOCHS, BATCH, RATE, DECAY, CALM = 1500, 5, 10, 64, 0.25, 1e-5, 200.0
 THRESHOLD = 0.5
 _PIECE = 1 << 20
 
@@ -49,7 +50,7 @@ class Model:
             b = buckets_of(text[at : at + _PIECE])
             total += float(self.share[b].sum(dtype=np.float64))
             weight += float(self.weight[b].sum(dtype=np.float64))
-        z = self.bias + (total / weight if weight else 0.0)
+        z = self.bias + total / (weight + CALM)
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
@@ -68,7 +69,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict
         some = weight[idx] > 0
         if some.any():
             val = weight[idx[some]] * n[some]
-            kept.append((idx[some], val / val.sum()))
+            kept.append((idx[some], val / (val.sum() + CALM)))
             labels.append(label)
     if len(set(labels)) < 2:
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), bias)
@@ -78,8 +79,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict
     out = (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32)
     b = np.array([0.0, bias], np.float32)
     g_emb, g_out, g_b = np.full((size, DIM), 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    w = np.ones(len(y))
-    for batch in (all_ := sparse.batches(kept, y, w, BATCH, seed)) * EPOCHS:
+    for batch in (all_ := sparse.batches(kept, y, np.ones(len(y)), BATCH, seed)) * EPOCHS:
         x = batch.by_row(emb[batch.idx] * batch.val[:, None])
         z = x @ out + b
         z -= z.max(axis=1, keepdims=True)
