@@ -53,7 +53,8 @@ class HostPathTrie:
             node = self.root
             for label in reversed(rule.host.split(".")) if rule.host else ():
                 node = node.children.setdefault(label, _Node())
-            node = node.paths = node.paths or _Node()
+            node.paths = node.paths or _Node()
+            node = node.paths
             if rule.path:
                 *whole, last = rule.path.split("/")
                 for segment in whole:

@@ -1,0 +1,358 @@
+"""URL filters, chat formatting, mixing, sharding, media: brute force, round trips, and the defined cases."""
+
+import collections
+import gzip
+import hashlib
+import io
+import math
+import random
+import wave
+import zipfile
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldmark.llm import catalog, chat_format, media, mixing, ordering, shards, url_filters
+from fieldmark.llm.common import bounded_sample, word_count
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+# --- URL filters -------------------------------------------------------------------------------------------------------
+
+
+def brute_rule(rules, host, path):
+    fits = [r for r in rules if (r.host == "" or host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: (len(r.host.split(".")) if r.host else 0, len(r.path), r.verdict == "block"), default=None)
+
+
+URLS = [None, "", "no scheme", "http://", "HTTP://COM/en/x", "http://a.example.com/en/7198?x=/en/", "http://example.com/en/", "http://example.com/EN/7", "https://xcom/en/", "http://net/de/", "http://b.example.net/de/88#f", "http://q.net/de/8", "http://org?es/", "http://a.org/es/" + "x/" * 5000, "http://Ä.COM/en/", "a://b://com/en/", "http://.com/en/", "http://com./en/1"]
+
+
+def test_url_rules_by_brute_force(spark):
+    rnd = random.Random(1)
+    part = lambda: rnd.choice(["com", "net", "a", "b", "example", "en", "de", "7", "71", ""])
+    rules = catalog.RULES + [url_filters.Rule(".".join(part() for _ in range(rnd.randint(1, 3))).strip("."), "/" + "/".join(part() for _ in range(rnd.randint(0, 3))), rnd.choice(["allow", "block"])) for _ in range(60)]
+    rules = list({(r.host, r.path): r for r in rules}.values()) + [url_filters.Rule("deep.org", "", "block")]
+    urls = URLS + [f"http://{'.'.join(part() for _ in range(rnd.randint(1, 4)))}/{'/'.join(part() for _ in range(rnd.randint(0, 4)))}" for _ in range(300)] + ["http://x.deep.org", "http://x.deep.org"]
+    df = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    want = {}
+    for i, u in enumerate(urls):
+        host, path = url_filters.split_url(u)
+        r = brute_rule(rules, host, path)
+        want[i] = (host, path, r and r.text, r.verdict if r else "allow")
+    for limit in (1000, 1):  # the trie, and the join beyond its bound
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.filter_urls(df, rules, max_trie_rules=limit).collect()}
+        assert got == want
+    by_frame = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in url_filters.filter_urls(df, by_frame).collect()} == {i: w[3] for i, w in want.items()}
+
+
+def test_url_split_and_empty(spark):
+    assert url_filters.split_url("x://HoSt/p/a?q#f") == ("host", "/p/a") and url_filters.split_url("x://h?q/") == ("h", "")
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert url_filters.filter_urls(none, catalog.RULES).count() == 0
+    one = spark.createDataFrame([(1, "http://com/en/")], "page_id long, url string")
+    assert url_filters.filter_urls(one, []).first().verdict == "allow"
+
+
+# --- Chat --------------------------------------------------------------------------------------------------------------
+
+
+CHATS = [
+    (1, 2, "assistant", "b <|im_end|>\n"),
+    (1, 0, "system", ""),
+    (1, 1, "user", "&lt;| & <| \\ <|im_sep|>"),
+    (1, 3, "assistant", None),
+    (1, 4, "assistant", "ends with <"),
+    (2, 0, "assi\nstant", "x"),
+    (2, 0, "assi\nstant", "x"),
+    (3, None, None, "é𝄞\n\n"),
+    (None, 1, "assistant", "null id"),
+    (4, 1, "assistant", "<|im_start|>assistant\n" * 2000),
+]
+
+
+def test_chats_round_trip(spark):
+    df = spark.createDataFrame([(*r, "x") for r in CHATS], "conv_id long, turn long, role string, text string, formatted string")
+    out = chat_format.format_chats(df).select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), "segments")
+    got = {r.conv_id: r for r in out.collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text in CHATS:
+        by[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, rows in by.items():
+        want = [(role, text) for _, role, text in sorted(rows)]
+        assert [tuple(t) for t in got[c].turns] == want
+        assert got[c].loss == "".join(text for role, text in want if role == "assistant")
+        assert got[c].formatted == "".join(s.text for s in got[c].segments)
+    assert got[1].formatted.count("<|im_start|>") == 3 and got[1].formatted.count("<|im_sep|>") == 2  # adjacent turns of a role are one block
+    assert chat_format.format_chats(df.where("false")).count() == 0
+
+
+def test_chat_query_has_no_python(spark):
+    plan = catalog.op8_chat_format(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- Mixing ------------------------------------------------------------------------------------------------------------
+
+
+def words(text):
+    return len([w for w in __import__("re").split(r"[ \t-\r]+", text or "") if w])
+
+
+def brute_targets(sizes, share=1.5, cap=2.0):
+    """By resharing the excess until none is above."""
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    total, full = share * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in order if s not in full]
+        w, left = sum(weight[s] for s in rest), total - sum(full.values())
+        now = {s: left * weight[s] / w for s in rest} if rest else {}
+        over = [s for s in rest if now[s] > cap * sizes[s] + 1e-9]
+        if not over:
+            return full | now
+        full |= {s: cap * sizes[s] for s in over}
+
+
+def mix_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)
+
+
+def check_mix(spark, rows, block):
+    df = mix_docs(spark, rows)
+    mix = mixing.mix_sources(df, block=block)
+    docs = [r.asDict() for r in mix.documents.collect()]
+    assert len(docs) == len(rows)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += words(t)
+    targets = brute_targets(dict(sizes))
+    taken = {(r.source_at, r.start): r.taken for r in mixing.taken_words(mix).collect()}
+    sums = collections.Counter()
+    for r in docs:
+        assert r["size"] == words(r["text"]) and r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(targets[r["source"]])
+        t = taken.get((r["source_at"], r["start"]), 0) if r["size"] else 0
+        assert 0 <= t <= 2 * r["size"]
+        sums[r["source"]] += t
+    for s, t in targets.items():
+        assert abs(sums[s] - t) <= 0.5 + 1e-6
+    # The documents of a source are a stream without gaps.
+    for s in sizes:
+        at = 0
+        for r in sorted((r for r in docs if r["source"] == s and r["size"]), key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["size"]
+    placed = [r.asDict() for r in mix.placements.collect()]
+    slots = {r["k"]: (r["source_at"], r["rank"]) for r in placed}
+    assert len(slots) == len({(r["source_at"], r["rank"]) for r in placed})
+    by = collections.defaultdict(list)
+    for k, (s, rank) in slots.items():
+        by[s].append((k, rank))
+    for s, found in by.items():  # ranked by place in the schedule
+        assert [rank for _, rank in sorted(found)] == list(range(len(found)))
+    return mix, docs, slots
+
+
+def test_mix_by_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.choice([0, 1, 3, 50, 400]), rnd.choice(["a", "b", "c", "ü", "Z", None])) for i in range(300)]
+    rows += [(1000, "long " * 5000, "b"), (1001, None, "empty"), (None, "x y", "a"), (5, "same id", "a"), (5, "same id", "a")]
+    mix, docs, slots = check_mix(spark, rows, 64)
+    # Low discrepancy: any prefix of the schedule has each source near its share.
+    order = [slots[k][0] for k in sorted(slots)]
+    share = {s: order.count(s) / len(order) for s in set(order)}
+    for cut in range(20, len(order), 37):
+        for s, p in share.items():
+            assert abs(order[:cut].count(s) - p * cut) <= 2 + math.log2(len(order))
+    again = mixing.mix_sources(mix_docs(spark, rows), block=64)
+    assert sorted(map(str, again.placements.collect())) == sorted(map(str, mix.placements.collect()))
+
+
+def test_mix_hot_and_tiny(spark):
+    check_mix(spark, [(i, "w " * 7, "hot") for i in range(200)] + [(900, "one", "tiny")], 5)
+    check_mix(spark, [(1, "just one", "a")], 512)
+
+
+def test_mix_empty(spark):
+    mix = mixing.mix_sources(mix_docs(spark, []))
+    assert mix.documents.count() == 0 and mix.placements.count() == 0
+    mix = mixing.mix_sources(mix_docs(spark, [(1, None, None), (2, "", "a")]))
+    assert mix.documents.count() == 2 and mix.placements.count() == 0
+
+
+def test_mixed_documents(spark):
+    rows = [(i, f"d{i} " * (i % 9 + 1), "ab"[i % 2]) for i in range(40)]
+    df = mix_docs(spark, rows)
+    mix = mixing.mix_sources(df, block=8)
+    out = mixing.mixed_documents(mix, "text", df.columns)
+    assert out.columns == df.columns
+    got = collections.Counter()
+    for r in out.collect():
+        assert set(r.text.split()) == {f"d{r.doc_id}"}
+        got[r.doc_id] += words(r.text)
+    want = {(r.source_at, r.start): r.taken for r in mixing.taken_words(mix).collect()}
+    ids = {(r.source_at, r.start): r.doc_id for r in mix.documents.collect()}
+    assert got == {ids[k]: v for k, v in want.items()}
+
+
+def test_word_count(spark):
+    texts = ["a b", " a\x0bb\x0c\r\n", "é\u00a0ü x", "", None, "\x1c\x1d"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in df.select(word_count("text")).collect()] == [2, 2, 2, 0, 0, 1]
+
+
+# --- Sharding ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("dims, bits", [(2, 3), (3, 3), (2, 1), (1, 4), (4, 2)])
+def test_hilbert_curve_is_a_walk(dims, bits):
+    cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
+    index = shards.hilbert_index(cells, bits)
+    assert sorted(index) == list(range(1 << (bits * dims)))
+    steps = np.abs(np.diff(cells[np.argsort(index)], axis=0)).sum(axis=1)
+    assert (steps == 1).all()
+
+
+def shard_rows(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, 0) for i, t, lang, s in rows], DOCS)
+
+
+def check_shards(rows, n, law):
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    for found in by.values():
+        assert sorted(r.slot for r in found) == list(range(len(found)))
+    if law == "rows":
+        counts = [len(by.get(k, ())) for k in range(n)]
+        assert max(counts) - min(counts) <= 1
+    else:
+        sums = [sum(r.size for r in by.get(k, ())) for k in range(n)]
+        most = max(r.size for r in rows)
+        assert max(sums) - min(sums) <= 2 * most
+    curve = [r.curve for k in sorted(by) for r in sorted(by[k], key=lambda r: r.slot)]
+    assert curve == sorted(curve)
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_shards(spark, law):
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice(["copy " * 50, "x" * rnd.randint(0, 300), "é", None]), rnd.choice(["en", "de", None]), rnd.choice(["s1", "s2", "s2", None])) for i in range(500)]
+    rows += [(None, "n", None, None), (7, "x", "en", "s1"), (7, "x", "en", "s1"), (999, "y" * 3000, "fr", "s9")]
+    df = shard_rows(spark, rows).withColumn("slot", F.lit("clash"))
+    got = shards.shard_documents(df, 16, law=law).collect()
+    assert len(got) == len(rows)
+    check_shards(got, 16, law)
+    for r in got:
+        raw = (r.text or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    again = {(r.doc_id, r.shard, r.slot, r.text) for r in shards.shard_documents(df.repartition(3), 16, law=law).collect()}
+    assert again == {(r.doc_id, r.shard, r.slot, r.text) for r in got}
+
+
+def test_shards_few_and_none(spark):
+    assert shards.shard_documents(shard_rows(spark, []), 16).count() == 0
+    check_shards(shards.shard_documents(shard_rows(spark, [(1, "a", "en", "s"), (2, None, None, None)]), 16).collect(), 16, "rows")
+    with pytest.raises(ValueError):
+        shards.shard_documents(shard_rows(spark, [(1, "a", "en", "s")]), 16, law="none")
+
+
+def test_shards_prune(spark):
+    """A shard covers few of the sources and languages."""
+    rnd = random.Random(4)
+    rows = [(i, "x" * rnd.randint(0, 500), rnd.choice("abcd"), f"s{rnd.randint(0, 15):02d}") for i in range(2000)]
+    got = shards.shard_documents(shard_rows(spark, rows), 16).collect()
+    spread = np.mean([len({(r.source, r.lang) for r in got if r.shard == k}) for k in range(16)])
+    assert spread < 20  # of 64
+
+
+def test_global_rank(spark):
+    rnd = random.Random(5)
+    values = [(rnd.choice([1, 1, 1, rnd.randint(0, 50)]), i) for i in range(777)]
+    got = ordering.global_rank(spark.createDataFrame(values, "a long, b long").repartition(7), ["a", "b"], "rank", "test").collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r["rank"])] == sorted(values) and sorted(r["rank"] for r in got) == list(range(777))
+
+
+def test_bounded_sample(spark):
+    df = spark.range(20_000).selectExpr("id", "if(id % 10 = 0, 1, 0) as y")
+    n = {r.y: r["count"] for r in bounded_sample(df, "y", 3000, "id").groupBy("y").count().collect()}
+    assert n[1] == 2000 and abs(n[0] - 3000) < 300
+
+
+# --- Media -------------------------------------------------------------------------------------------------------------
+
+
+def png():
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def wav():
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(b"abcd")
+    return out.getvalue()
+
+
+def zipped():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "hello")
+    return out.getvalue()
+
+
+OGG = b"OggS\0\x04" + bytes(20) + b"\x01\x05hello"
+MEDIA = {
+    "image/png": png(),
+    "audio/wav": wav(),
+    "application/zip": zipped(),
+    "application/gzip": gzip.compress(b"x" * 100_000),
+    "image/gif": b"GIF89a\1\0\1\0\x80\0\0" + bytes(6) + b",\0\0\0\0\1\0\1\0\0\2\2D\1\0;",
+    "image/jpeg": b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\4cd\x12\xff\0\x34\xff\xd9",
+    "image/bmp": b"BM" + (60).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + bytes(42),
+    "application/pdf": b"%PDF-1.4\nx\nstartxref\n0\n%%EOF",
+    "audio/ogg": OGG,
+    "video/mp4": b"\0\0\0\x10ftypisom" + bytes(4) + b"\0\0\0\x08moov",
+}
+
+
+@pytest.mark.parametrize("kind", MEDIA)
+def test_sniff_and_carve(kind):
+    data = MEDIA[kind]
+    assert media.sniff(data, "text/plain") == (kind, True, []) and media.sniff(data, kind)[1] is False
+    for other in MEDIA.values():
+        held = b"some bytes BM RIFF " + data + b" GIF89a between PK\3\4 " + other + b"end"
+        _, _, inner = media.sniff(held, None)
+        assert media.carve(held, inner) == [data, other]
+    assert media.sniff(data[:-1], "x")[0] == "x"  # cut short: not confirmed
+
+
+def test_sniff_defined_cases(spark):
+    assert media.sniff(None, "a/b") == ("a/b", False, []) and media.sniff(b"", "a/b")[0] == media.EMPTY
+    rows = [(1, bytearray(png()), "image/jpeg"), (2, None, None), (3, bytearray(b"BM" * 1000), "text/plain"), (1, bytearray(png()), "image/jpeg")]
+    df = spark.createDataFrame(rows, "id long, media binary, declared string").withColumn("embedded", F.lit("clash"))
+    got = media.sniff_media(df, "media", "declared").collect()
+    assert [(r.media_type, r.corrected, r.embedded) for r in got] == [("image/png", True, []), (None, False, []), ("text/plain", False, []), ("image/png", True, [])]
+
+
+def test_media_round_trip(spark):
+    texts = ["", None, "é" * 31, "x" * 64, "y" * 65, "RIFF" * 40_000, "same", "same"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = media.store_text(df, "text", ["doc_id"])
+    got = {r.doc_id: r for r in media.media_features(stored, ["doc_id", "n_bytes"]).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert got[6].media_sha256 == got[7].media_sha256 and got[6].feature == got[7].feature and "type=audio/wav" in got[6].feature
+    with wave.open(io.BytesIO(media.wav_store(b"abc"))) as w:
+        assert w.readframes(9) == b"abc" and w.getsampwidth() == 1
+    assert media.store_text(df.where("false"), "text", ["doc_id"]).count() == 0
