@@ -1,6 +1,7 @@
-"""Registry of named queries: name -> (Spark function, oracle SQL or None)."""
+"""Registry of named queries: name -> Spark function, and name -> oracle SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
