@@ -101,15 +101,16 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
 
     counts = map_columns(picked, [], ["lang", "text"], count, "c array<struct<lang:string,word:string,n:long>>")
     counts = counts.select(F.explode("c").alias("c")).groupBy("c.lang", "c.word").agg(F.sum("c.n").alias("n"))
-    rows = counts.collect()  # words of the bounded sample
+    found = counts.toArrow()  # words of the bounded sample
     words: dict[str, Counter] = {}
     grams: dict[str, Counter] = {}
-    for r in rows:
-        words.setdefault(r.lang, Counter())[r.word] = r.n
-        bag = grams.setdefault(r.lang, Counter())
-        for n in range(1, MOST_GRAM + 1):
-            for g in grams_of(r.word, n):
-                bag[g] += r.n
+    for part in found.to_batches(max_chunksize=10_000):
+        for one, word, times in zip(*(c.to_pylist() for c in part.columns)):
+            words.setdefault(one, Counter())[word] = times
+            bag = grams.setdefault(one, Counter())
+            for n in range(1, MOST_GRAM + 1):
+                for g in grams_of(word, n):
+                    bag[g] += times
     cut = lambda bags: [(one, w, n) for one in sorted(bags) for w, n in sorted(bags[one].items(), key=lambda x: (-x[1], x[0]))[:most_words]]
     return Model(list(words), cut(words), cut(grams))
 
