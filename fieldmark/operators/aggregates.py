@@ -91,7 +91,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     wide = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(c) for c in df.columns])
     pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)
     long = wide.selectExpr("__rows", f"stack({len(df.columns)}, {pairs}) as (column_name, non_null)")
-    return long.select("column_name", "non_null", F.round(1 - F.try_divide("non_null", "__rows"), 6).alias("null_share"))
+    return long.select("column_name", "non_null", (1 - F.try_divide("non_null", "__rows")).alias("null_share"))
 
 
 def cardinality_profile(df: DataFrame, approximate: bool = True, rsd: float = 0.05) -> DataFrame:
@@ -99,7 +99,7 @@ def cardinality_profile(df: DataFrame, approximate: bool = True, rsd: float = 0.
     distinct = (lambda c: F.approx_count_distinct(c, rsd)) if approximate else F.countDistinct
     wide = df.agg(F.count(F.lit(1)).alias("__rows"), *[distinct(c).alias(c) for c in df.columns])
     pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)
-    return wide.selectExpr("__rows", f"stack({len(df.columns)}, {pairs}) as (column_name, n_distinct)").select("column_name", "n_distinct", F.round(F.try_divide("n_distinct", "__rows"), 6).alias("per_row"))
+    return wide.selectExpr("__rows", f"stack({len(df.columns)}, {pairs}) as (column_name, n_distinct)").select("column_name", "n_distinct", F.try_divide("n_distinct", "__rows").alias("per_row"))
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:

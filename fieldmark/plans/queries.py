@@ -44,6 +44,7 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Sums of fractions depend on their order in the last digits. Averages of integers don't, and aren't rounded."""
     return df.withColumns({n: r6(F.col(n)) for n in names})
 
 
@@ -51,12 +52,12 @@ def n() -> Column:
     return F.count(F.lit(1)).alias("records")
 
 
-MEASURES = "count(*) as records, round(avg(cast(usable_for_mapping as int)), 6) as usable, round(avg(n_issues), 6) as mean_flags"
+MEASURES = "count(*) as records, avg(cast(usable_for_mapping as int)) as usable, avg(n_issues) as mean_flags"
 
 
 @query(f"with {ENRICHED_SQL} select decade::bigint as decade, publisher_key, {MEASURES} from enriched group by all")
 def flagship(spark, d):
-    return rounded(longs(A.breakdown(enriched(spark, d), "decade", "publisher_key"), "decade"), "usable", "mean_flags").orderBy("decade", "publisher_key")
+    return longs(A.breakdown(enriched(spark, d), "decade", "publisher_key"), "decade").orderBy("decade", "publisher_key")
 
 
 # --- Scans, projections, predicates ----------------------------------------------------------------------------------
@@ -231,11 +232,11 @@ def join_anti(spark, d):
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti")
 
 
-@query("select l_orderkey, l_linenumber::bigint as l_linenumber, round(l_quantity - avg(l_quantity) over (partition by l_suppkey), 6) as gap, count(*) over (partition by l_suppkey) as group_rows from lineitem")
+@query("select l_orderkey, l_linenumber::bigint as l_linenumber, l_quantity - avg(l_quantity) over (partition by l_suppkey) as gap, count(*) over (partition by l_suppkey) as group_rows from lineitem")
 def join_self_summary(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     j = joins.with_group_aggregate(li, "l_suppkey", F.avg("l_quantity").alias("m"), F.count(F.lit(1)).alias("group_rows"))
-    return j.select("l_orderkey", long("l_linenumber").alias("l_linenumber"), r6(F.col("l_quantity") - F.col("m")).alias("gap"), "group_rows")
+    return j.select("l_orderkey", long("l_linenumber").alias("l_linenumber"), (F.col("l_quantity") - F.col("m")).alias("gap"), "group_rows")
 
 
 #: A hot key: two thirds of the rows have supplier 1.
@@ -282,10 +283,10 @@ def batch_union(spark, d):
 # --- Aggregations ----------------------------------------------------------------------------------------------------
 
 
-@query(f"""with {ENRICHED_SQL} select {MEASURES}, round(avg(cast(usable_for_mapping and uncertainty_known as int)), 6) as usable_strict, round(avg(cast(n_issues > 0 as int)), 6) as any_flag,
-  round(avg(cast(n_geo_issues > 0 as int)), 6) as geo_flag, count(distinct specieskey) as species, count(distinct cell_id) as cells, count(distinct publisher_key) as publishers from enriched""")
+@query(f"""with {ENRICHED_SQL} select {MEASURES}, avg(cast(usable_for_mapping and uncertainty_known as int)) as usable_strict, avg(cast(n_issues > 0 as int)) as any_flag,
+  avg(cast(n_geo_issues > 0 as int)) as geo_flag, count(distinct specieskey) as species, count(distinct cell_id) as cells, count(distinct publisher_key) as publishers from enriched""")
 def headline(spark, d):
-    return rounded(A.headline(enriched(spark, d), approximate=False), "usable", "mean_flags", "usable_strict", "any_flag", "geo_flag")
+    return A.headline(enriched(spark, d), approximate=False)
 
 
 @query()
@@ -297,7 +298,7 @@ def _breakdown(name: str, *keys: str):
     listed = ", ".join(f"{k}::bigint as {k}" if k == "decade" else k for k in keys)
 
     def run(spark, d):
-        df = rounded(A.breakdown(enriched(spark, d), *keys), "usable", "mean_flags")
+        df = A.breakdown(enriched(spark, d), *keys)
         return longs(df, "decade") if "decade" in keys else df
 
     run.__name__ = name
@@ -312,13 +313,13 @@ for _name, _keys in (("by_decade", ["decade"]), ("by_country", ["country"]), ("b
   union all select 'by_decade', decade::bigint, null, {MEASURES} from enriched group by decade""")
 def breakdowns_one_scan(spark, d):
     found = A.breakdowns(enriched(spark, d), {"by_basis": ["basis"], "by_decade": ["decade"]})
-    parts = [rounded(df.withColumn("breakdown", F.lit(name)), "usable", "mean_flags") for name, df in found.items()]
+    parts = [df.withColumn("breakdown", F.lit(name)) for name, df in found.items()]
     return longs(joins.merge_caches(*parts), "decade").select("breakdown", "decade", "basis", "records", "usable", "mean_flags")
 
 
 @query(f"with {ENRICHED_SQL} select publisher_key, publisher_title, publisher_country, {MEASURES}, count(distinct datasetkey) as datasets from enriched group by 1, 2, 3")
 def by_publisher(spark, d):
-    return rounded(A.by_publisher(enriched(spark, d), approximate=False), "usable", "mean_flags")
+    return A.by_publisher(enriched(spark, d), approximate=False)
 
 
 @query()
@@ -328,7 +329,7 @@ def by_publisher_hll(spark, d):
 
 @query(f"with {ENRICHED_SQL} select datasetkey, {MEASURES} from enriched group by 1 having count(*) >= {LEAST_RECORDS}")
 def by_dataset_having(spark, d):
-    return rounded(A.breakdown(enriched(spark, d), "datasetkey").where(F.col("records") >= LEAST_RECORDS), "usable", "mean_flags")
+    return A.breakdown(enriched(spark, d), "datasetkey").where(F.col("records") >= LEAST_RECORDS)
 
 
 @query("select count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers, count(distinct l_shipdate) as days from lineitem")
@@ -339,12 +340,12 @@ def multi_distinct(spark, d):
 _PROFILE = ["species", "country", "basis", "status", "uncertainty_m", "cell_id"]
 
 
-@query(f"with {FACTS_SQL} " + " union all ".join(f"select '{c}' as column_name, count({c}) as non_null, round(1 - count({c}) / count(*), 6) as null_share from facts" for c in _PROFILE))
+@query(f"with {FACTS_SQL} " + " union all ".join(f"select '{c}' as column_name, count({c}) as non_null, 1 - count({c}) / count(*) as null_share from facts" for c in _PROFILE))
 def null_profile(spark, d):
     return A.null_profile(facts(spark, d).select(*_PROFILE))
 
 
-@query(f"with {FACTS_SQL} " + " union all ".join(f"select '{c}' as column_name, count(distinct {c}) as n_distinct, round(count(distinct {c}) / count(*), 6) as per_row from facts" for c in _PROFILE))
+@query(f"with {FACTS_SQL} " + " union all ".join(f"select '{c}' as column_name, count(distinct {c}) as n_distinct, count(distinct {c}) / count(*) as per_row from facts" for c in _PROFILE))
 def cardinality_profile(spark, d):
     return A.cardinality_profile(facts(spark, d).select(*_PROFILE), approximate=False)
 
@@ -389,18 +390,18 @@ def decade_histogram(spark, d):
 _GATES = ["has_species", "has_coords", "coord_valid", "has_geo_issue", "year_known", "is_present", "uncertainty_known", "uncertainty_ok", "usable_for_mapping"]
 
 
-@query(f"with {FACTS_SQL} " + " union all ".join(f"select '{g}' as gate, round(avg(cast({'lat is not null and lon is not null' if g == 'has_coords' else g} as int)), 6) as share from facts" for g in _GATES))
+@query(f"with {FACTS_SQL} " + " union all ".join(f"select '{g}' as gate, avg(cast({'lat is not null and lon is not null' if g == 'has_coords' else g} as int)) as share from facts" for g in _GATES))
 def gate_shares(spark, d):
     from ..cli import gate_shares as shares
 
-    return rounded(shares(facts(spark, d), _GATES), "share")
+    return shares(facts(spark, d), _GATES)
 
 
-@query(f"with {FACTS_SQL} select decade::bigint as decade, count(*) as records, round(avg(cast(usable_for_mapping as int)), 6) as usable, round(avg(cast(usable_for_mapping and uncertainty_known as int)), 6) as usable_strict from facts group by 1")
+@query(f"with {FACTS_SQL} select decade::bigint as decade, count(*) as records, avg(cast(usable_for_mapping as int)) as usable, avg(cast(usable_for_mapping and uncertainty_known as int)) as usable_strict from facts group by 1")
 def share_by_decade(spark, d):
     from ..cli import usable_by_decade
 
-    return rounded(longs(usable_by_decade(facts(spark, d)), "decade"), "usable", "usable_strict")
+    return longs(usable_by_decade(facts(spark, d)), "decade")
 
 
 @query(f"""with {DIM_SQL} select 'license' as kind, license as name, count(*) as datasets from dim group by license union all select 'type', dataset_type, count(*) from dim group by dataset_type
@@ -464,10 +465,10 @@ def group_count_of_groups(spark, d):
 
 
 @query(f"""with c as (select {_HOT} as k, count(*) as records from lineitem group by 1), t as (select sum(records) as a, count(*) as b from c), top as (select * from c order by records desc, k limit 10)
-  select k, records, round(records / a, 6) as share, round(records * b / a, 6) as times_mean, round(sum(records) over () / a, 6) as top_share from top, t""")
+  select k, records, records / a as share, records * b / a as times_mean, sum(records) over () / a as top_share from top, t""")
 def skew_report(spark, d):
     li = table(spark, d, "lineitem").selectExpr(f"{_HOT} as k")
-    return rounded(A.skew_report(li, "k"), "share", "times_mean", "top_share")
+    return A.skew_report(li, "k")
 
 
 # --- Windows ---------------------------------------------------------------------------------------------------------
@@ -494,14 +495,14 @@ def win_topn(spark, d):
 
 _TREND = """with y as (select l_returnflag as basis, year(l_shipdate)::bigint as year, count(*) as records from lineitem group by 1, 2)
 select basis, year, records, lag(records) over w as previous, round((records - lag(records) over w) * 100.0::double / lag(records) over w, 1) as change_pct,
-  round(avg(records) over (partition by basis order by year rows between 4 preceding and current row), 6) as rolling_mean,
+  avg(records) over (partition by basis order by year rows between 4 preceding and current row) as rolling_mean,
   (sum(records) over (partition by basis order by year rows unbounded preceding))::bigint as running_total, first(records) over (partition by basis order by year rows unbounded preceding) as first_value
 from y window w as (partition by basis order by year)"""
 
 
 def _trend(spark, d):
     y = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("basis"), long(F.year("l_shipdate")).alias("year")).agg(n())
-    return rounded(windows.trend(y, "basis", "year", "records"), "rolling_mean")
+    return windows.trend(y, "basis", "year", "records")
 
 
 @query(f"select basis, year, records, previous, change_pct from ({_TREND})")
@@ -549,9 +550,9 @@ def flags_three_keys(spark, d):
     return longs(flags.flag_counts(facts(spark, d), "decade", "country"), "decade")
 
 
-@query(f"with {FACTS_SQL} select count(*) as rows_before, sum(n_issues)::bigint as rows_after, round(avg(n_issues), 6) as factor from facts")
+@query(f"with {FACTS_SQL} select count(*) as rows_before, sum(n_issues)::bigint as rows_after, avg(n_issues) as factor from facts")
 def flag_explosion(spark, d):
-    return rounded(flags.explosion(facts(spark, d)), "factor")
+    return flags.explosion(facts(spark, d))
 
 
 @query(f"with {FACTS_SQL} select flag as array_element, count(*) as records from (select unnest(issues) as flag from facts) group by 1")
