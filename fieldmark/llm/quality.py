@@ -138,8 +138,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
 
     picked = map_columns(bounded_sample(rows, "label", sample, "key"), ["label", "key"], ["text", *names], make, "i array<int>, x array<float>")
     table = picked.orderBy("key").toArrow()  # bounded by sample and by SIZE
-    pairs = [(np.asarray(i.values), np.asarray(x.values)) for i, x in zip(table["i"], table["x"])]
-    return train(pairs, np.array(table["label"]), counts)
+    pairs = [(np.array(i.values, dtype=np.int32), np.array(x.values, dtype=np.float32)) for i, x in zip(table["i"], table["x"])]
+    y = np.array(table["label"])
+    del table
+    return train(pairs, y, counts)
 
 
 def score_quality(df: DataFrame, model: Model, keep: list[str], text: str = "text", metadata: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:

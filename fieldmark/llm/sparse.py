@@ -31,18 +31,20 @@ class Batch:
 
 
 def batches(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, size: int, seed: int) -> list[Batch]:
-    """rows: (indices, values) of each row, none empty."""
+    """rows: (indices, values) of each row, none empty. The list is emptied on the way."""
     deal = np.random.default_rng(seed).permutation(len(rows))
     out = []
     for at in range(0, len(deal), size):
         part = deal[at : at + size]
         lengths = np.array([len(rows[i][0]) for i in part])
-        idx = np.concatenate([rows[i][0] for i in part]).astype(np.int64)
+        idx = np.concatenate([rows[i][0] for i in part]).astype(np.int32)
         val = np.concatenate([rows[i][1] for i in part]).astype(np.float32)
-        order = np.argsort(idx, kind="stable")
+        for i in part:  # each row is held once: here or there
+            rows[i] = None
+        order = np.argsort(idx, kind="stable").astype(np.int32)
         cols, col_start = np.unique(idx[order], return_index=True)
         start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        out.append(Batch(y[part], weight[part], np.repeat(np.arange(len(part)), lengths), idx, val, start, order, cols, col_start))
+        out.append(Batch(y[part], weight[part], np.repeat(np.arange(len(part), dtype=np.int32), lengths), idx, val, start, order, cols, col_start.astype(np.int32)))
     return out
 
 

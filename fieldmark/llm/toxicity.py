@@ -55,7 +55,7 @@ class Model:
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict[int, int], seed: int = 11) -> Model:
-    """rows: (buckets, counts) of each labelled text."""
+    """rows: (buckets, counts) of each labelled text; the list is emptied on the way."""
     size, ones = 1 << BUCKET_BITS, sum(counts.get(k, 0) for k in (1,))
     prior = ones / max(1, sum(counts.values())) if counts else 0.5
     docs = np.zeros(size)
@@ -65,11 +65,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict
     weight = np.where(docs >= min(LEAST_DOCS, max(1, len(rows) // 50)), np.log((len(rows) + 1) / np.maximum(docs, 1)) + 0.05, 0.0).astype(np.float32)
     bias = math.log(min(max(prior, 1e-6), 1 - 1e-6) / (1 - min(max(prior, 1e-6), 1 - 1e-6)))
     kept, labels = [], []
-    for (idx, n), label in zip(rows, y):
+    for i, label in enumerate(y):
+        (idx, n), rows[i] = rows[i], None
         some = weight[idx] > 0
         if some.any():
             val = weight[idx[some]] * n[some]
-            kept.append((idx[some], val / (val.sum() + CALM)))
+            kept.append((idx[some], (val / (val.sum() + CALM)).astype(np.float32)))
             labels.append(label)
     if len(set(labels)) < 2:
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), bias)
@@ -119,8 +120,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
 
     picked = map_columns(bounded_sample(rows, "label", sample, "key"), ["label", "key"], ["text"], make, "b array<int>, n array<int>")
     table = picked.orderBy("key").toArrow()  # bounded by sample and by the buckets
-    pairs = [(np.asarray(b.values), np.asarray(n.values, dtype=np.float32)) for b, n in zip(table["b"], table["n"])]
-    return train(pairs, np.array(table["label"]), counts)
+    pairs = [(np.array(b.values, dtype=np.int32), np.array(n.values, dtype=np.float32)) for b, n in zip(table["b"], table["n"])]
+    y = np.array(table["label"])
+    del table
+    return train(pairs, y, counts)
 
 
 def score_toxicity(df: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
