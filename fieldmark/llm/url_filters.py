@@ -133,7 +133,7 @@ def _by_join(df: DataFrame, rules: DataFrame, url: str, default: str) -> DataFra
     given = rules.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "verdict").withColumn("__d", F.regexp_extract("__p", r"(?s)^(.*/)?", 0))
     hits = keys.join(given, ["__h", "__d"]).where(F.expr("startswith(path, __p)"))
     rank = F.struct(F.when(F.col("__h") == "", 0).otherwise(F.size(F.split("__h", r"\."))), F.length("__p"), (F.col("verdict") == "block").cast("int"))
-    best = hits.groupBy("__url").agg(F.max_by(F.struct(F.concat("__h", "__p").alias("rule"), "verdict"), rank).alias("__best"))
-    judged = parts.join(best, parts["__url"].eqNullSafe(best["__url"]), "left").select(parts["__url"], "host", "path", "__best.rule", F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    best = hits.groupBy(F.col("__url").alias("__hit")).agg(F.max_by(F.struct(F.concat("__h", "__p").alias("rule"), "verdict"), rank).alias("__best"))
+    judged = parts.join(best, F.col("__url").eqNullSafe(F.col("__hit")), "left").select("__url", "host", "path", "__best.rule", F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
     base = df.drop("host", "path", "rule", "verdict")
-    return base.join(judged, base[url].eqNullSafe(judged["__url"]), "left").drop("__url")
+    return base.join(judged, F.col(url).eqNullSafe(F.col("__url")), "left").drop("__url")
