@@ -4,6 +4,7 @@
     python -m fieldmark curate status|preview|compact|drop-batch NAME
     python -m fieldmark registry keys|fetch [--refresh]|build|status|show
     python -m fieldmark job [options]            python -m fieldmark job --report
+    python -m fieldmark experiment NAME
     python -m fieldmark all --source DIR --gb 2  builds what is missing, then runs the job
 """
 
@@ -221,6 +222,19 @@ def show_status(p: config.Paths, a: argparse.Namespace) -> None:
     run_job(p, a)
 
 
+def run_experiment(p: config.Paths, a: argparse.Namespace) -> None:
+    from .plans import experiments as x
+
+    if a.name == "before_after":
+        rows = x.before_after({"before": ["--cache", "memory_and_disk", "--no-write-in-place", "--no-cache-results"], "after": []})
+        rows = [{k: v for k, v in r.items() if k != "output"} for r in rows]
+    else:
+        cfg = job.Config(table=p.facts, dim=p.dimension, out=p.results, tag=a.name)
+        rows = x.EXPERIMENTS[a.name](job.session_for(cfg), cfg)
+    x.write_report(str(p.home / "reports"), a.name, rows)
+    print(table_text(rows))
+
+
 def run_tests(p: config.Paths, a: argparse.Namespace) -> None:
     raise SystemExit(subprocess.run([sys.executable, "-m", "pytest", "-q", "tests"]).returncode)
 
@@ -266,6 +280,8 @@ def parser() -> argparse.ArgumentParser:
     )
     for name in ("all", "data"):
         add(sub, name, build_all, *source, url, (["--force"], yes))
+    experiments = "before_after caching input_packing join_strategies layouts profile pruning shuffle_partitions skew".split()
+    add(sub, "experiment", run_experiment, (["name"], {"choices": experiments}))
     add(sub, "status", show_status)
     add(sub, "test", run_tests)
     return top
