@@ -42,14 +42,14 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
-    return docs.where(~F.col("held_out")).join(labels, "doc_id").select("doc_id", "text", "label")
+def _labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Labels of documents outside the held-out fold."""
+    return table(spark, sf_dir, "labels").where(id_mod("doc_id", 5) != 0).select("doc_id", F.col(label).alias("label"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(id_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
-    return quality.score_quality(docs, quality.fit(_labelled(docs, spark, sf_dir, "quality")), ["doc_id", "held_out"])
+    return quality.score_quality(docs, quality.fit(docs, _labels(spark, sf_dir, "quality")), ["doc_id", "held_out"])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op9_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(id_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
-    return toxicity.score_toxicity(docs, toxicity.fit(_labelled(docs, spark, sf_dir, "toxic")), ["doc_id", "held_out"])
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, _labels(spark, sf_dir, "toxic")), ["doc_id", "held_out"])
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_url_filters, op4_hilbert_shards, op5_quality, op6_simhash, op7_decontamination, op8_chat_format, op9_media_sniffing, op10_toxicity)}

@@ -102,6 +102,19 @@ def bounded_sample(df: DataFrame, by: str, bound: int, key: str) -> DataFrame:
     return df.where(unit < share)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, bound: int) -> tuple[dict[int, int], DataFrame]:
+    """Counts of the labels 0 and 1, and label, text, key of about bound documents of each.
+
+    The labels are counted and sampled before texts are looked at, so what is joined is bounded and broadcast, and no
+    text is shuffled. Of several labels of one key the greatest counts; a null key has none.
+    """
+    given = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    counts = {r["label"]: r["n"] for r in given.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picked = bounded_sample(given, "label", bound, "key").groupBy("key").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return counts, texts.join(F.broadcast(picked), "key")  # at most some 2 * bound rows
+
+
 def word_count(text: str) -> Column:
     """Number of [^ space, tab..carriage return]+ in the column; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sparse
-from .common import bounded_sample, map_columns
+from .common import labelled_sample, map_columns
 
 WORD_BITS, FACTORS, CELLS = 15, 6, 12
 SAMPLE, EPOCHS, BATCH, RATE, DECAY, WORD_NORM, LEAST_DOCS = 1500, 10, 64, 0.1, 1e-4, 0.5, 5
@@ -126,17 +126,18 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict
     return Model(b, w, v)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", metadata: tuple[str, ...] = (), sample: int = SAMPLE) -> Model:
-    """From rows with a text and a label of 0 or 1; other labels are left out."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", metadata: tuple[str, ...] = (), sample: int = SAMPLE) -> Model:
+    """From documents with a label of 0 or 1; other labels are left out. metadata are columns of docs."""
     names = [f"__meta{i}" for i in range(len(metadata))]
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.col(key).alias("key"), *[F.col(c).alias(n) for c, n in zip(metadata, names)])
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    packed = docs.select(F.col(key), F.struct(F.col(text).alias("text"), *[F.col(c).cast("string").alias(n) for c, n in zip(metadata, names)]).alias("__all"))
+    counts, rows = labelled_sample(packed, labels, "__all", label, key, sample)
+    rows = rows.select("label", "key", "text.text", *[f"text.{n}" for n in names])
 
     def make(texts: list, *meta: list) -> dict[str, list]:
         found = [features(t, m) for t, m in zip(texts, zip(*meta) if meta else [()] * len(texts))]
         return {"i": [f[0].tolist() for f in found], "x": [f[1].tolist() for f in found]}
 
-    picked = map_columns(bounded_sample(rows, "label", sample, "key"), ["label", "key"], ["text", *names], make, "i array<int>, x array<float>")
+    picked = map_columns(rows, ["label", "key"], ["text", *names], make, "i array<int>, x array<float>")
     table = picked.orderBy("key").toArrow()  # bounded by sample and by SIZE
     pairs = [(np.array(i.values, dtype=np.int32), np.array(x.values, dtype=np.float32)) for i, x in zip(table["i"], table["x"])]
     y = np.array(table["label"])
@@ -152,4 +153,6 @@ def score_quality(df: DataFrame, model: Model, keep: list[str], text: str = "tex
         scores = [shared.value.score(t, m) for t, m in zip(texts, zip(*meta) if meta else [()] * len(texts))]
         return {"score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
-    return map_columns(df, keep, [text, *metadata], make, "score double, predicted int")
+    names = [f"__meta{i}" for i in range(len(metadata))]
+    df = df.withColumns({n: F.col(c).cast("string") for c, n in zip(metadata, names)})
+    return map_columns(df, keep, [text, *names], make, "score double, predicted int")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sparse, subwords
-from .common import bounded_sample, map_columns
+from .common import labelled_sample, map_columns
 
 BUCKET_BITS, GRAMS, DIM = 17, (3, 4, 5), 8
 SAMPLE, LEAST_DOCS, EPOCHS, BATCH, RATE, DECAY, CALM = 1500, 5, 10, 64, 0.25, 1e-5, 200.0
@@ -109,16 +109,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict
     return Model(share.astype(np.float32), weight, (lo + hi) / 2)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """From rows with a text and a label of 0 or 1; other labels are left out."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"), F.col(key).alias("key"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """From documents with a label of 0 or 1; other labels are left out."""
+    counts, rows = labelled_sample(docs, labels, text, label, key, sample)
 
     def make(texts: list) -> dict[str, list]:
         found = [np.unique(buckets_of(t), return_counts=True) for t in texts]
         return {"b": [f[0].tolist() for f in found], "n": [f[1].tolist() for f in found]}
 
-    picked = map_columns(bounded_sample(rows, "label", sample, "key"), ["label", "key"], ["text"], make, "b array<int>, n array<int>")
+    picked = map_columns(rows, ["label", "key"], ["text"], make, "b array<int>, n array<int>")
     table = picked.orderBy("key").toArrow()  # bounded by sample and by the buckets
     pairs = [(np.array(b.values, dtype=np.int32), np.array(n.values, dtype=np.float32)) for b, n in zip(table["b"], table["n"])]
     y = np.array(table["label"])

@@ -125,9 +125,9 @@ def test_classifier_cases(spark, module, score):
     rows = [(1, "bad awful text", 1), (2, "fine", 0), (3, None, 0), (4, "", 1), (None, "fine words", 0), (2, "fine", 0), (6, "x " * 20_000, None), (7, "odd label", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumn("score", F.lit("clash")).withColumn("predicted", F.lit(None).cast("string"))
     for given in (df, df.where("label = 0"), df.where("false")):
-        got = score(df, module.fit(given)).collect()
+        got = score(df, module.fit(given, given.select("doc_id", "label"))).collect()
         assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
-    assert score(df.where("false"), module.fit(df)).count() == 0
+    assert score(df.where("false"), module.fit(df, df)).count() == 0
 
 
 def test_misspellings_share_grams(spark):
@@ -139,7 +139,8 @@ def test_misspellings_share_grams(spark):
         if i % 3 == 0:
             w[rnd.randrange(30)] = rnd.choice(["worthless", "disgusting"])
         rows.append((i, " ".join(w), int(i % 3 == 0)))
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(df, df)
     clean = " ".join(plain * 4)
     assert model.score(clean) < 0.5 < model.score(clean.replace("river", "worthles", 1)) and model.score(clean.replace("river", "disgustin", 1)) > 0.5
 
