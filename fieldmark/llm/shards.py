@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .ordering import global_rank
 
 BITS = 5
@@ -66,7 +67,9 @@ def _with_string_cell(df: DataFrame, name: str, bits: int, out: str) -> DataFram
     order = Window.orderBy(F.col("__v").asc_nulls_first())  # one row a value
     middle = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n") / 2
     share = middle / F.sum("__n").over(Window.partitionBy())
+    # Written, so that its size is known: a small table of values is broadcast by Spark's own check, and no row moves.
     cells = counts.select("__v", F.least(F.floor(share * (1 << bits)), F.lit((1 << bits) - 1)).cast("int").alias(out))
+    cells = materialize(cells, "cells")
     return df.join(cells, df[name].eqNullSafe(cells["__v"]), "left").drop("__v")
 
 
