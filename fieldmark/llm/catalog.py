@@ -16,7 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), thin=True)
     taken = mixing.taken_words(mix)
     rows = mix.documents.select("doc_id", "size", "source_size", "target", "source_at", F.when(F.col("size") > 0, F.col("start")).alias("start"))
     return rows.join(taken, ["source_at", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -87,14 +87,17 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return slots.select("source_at", "k", "rank", "pass", "block", F.least(whole, last).alias("words"))
 
 
-def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, weights: tuple = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> Mix:
+def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, weights: tuple = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT, thin: bool = False) -> Mix:
+    """The mix of df. thin: texts are read once, to count their words, and the mix's documents are without them."""
     added = {"size", "source_size", "target", "source_at", "start"}
-    rows = df.drop(*(added - {text, source, key})).withColumn("size", word_count(text))
+    rows = df.drop(*(added - {text, source, key})).withColumn("size", word_count(text)).withColumn("__tie", F.xxhash64(F.col(text)))
+    if thin:
+        rows = materialize(rows.drop(text), "sizes")
     targets = materialize(source_targets(rows.select(F.col(source).alias("__s"), "size"), "__s", "size", weights, share, max_repeat), "targets")
     rows = rows.join(targets.withColumnRenamed("source", "__s"), rows[source].eqNullSafe(F.col("__s"))).drop("__s")
     spread = F.pmod(F.xxhash64(F.lit("shuffle"), F.col(key)), F.lit(1 << 30))
-    order = [F.xxhash64(F.lit("order"), F.col(key)), F.col(key), F.col("size"), F.xxhash64(F.col(text))]
-    rows = running_sum(rows, "source_at", order, spread, "size", "start")
+    order = [F.xxhash64(F.lit("order"), F.col(key)), F.col(key), F.col("size"), F.col("__tie")]
+    rows = running_sum(rows, "source_at", order, spread, "size", "start").drop("__tie")
     pieces = rows.where("size > 0").select("source_at", key, "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     slots = schedule(targets, block)
     placed = pieces.join(slots, ["source_at", "block"])
