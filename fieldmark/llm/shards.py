@@ -73,8 +73,8 @@ def _with_string_cell(df: DataFrame, name: str, bits: int, out: str) -> DataFram
     return df.join(cells, df[name].eqNullSafe(cells["__v"]), "left").drop("__v")
 
 
-def shard_documents(df: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", dimensions: tuple[str, ...] = DIMENSIONS, law: str = "rows", bits: int = BITS) -> DataFrame:
-    """df with size, text_crc32, curve, shard and slot (the row's place in its shard)."""
+def shard_documents(df: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", dimensions: tuple[str, ...] = DIMENSIONS, law: str = "rows", bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
+    """df with size, text_crc32, curve, shard and slot (the row's place in its shard). carry: df's columns that stay, key among them; all unless given."""
     added = {"size", "text_crc32", "curve", "shard", "slot"}
     raw = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
     rows = df.drop(*(added - {text, key})).withColumn("size", (F.octet_length(raw) + 1).cast("long")).withColumn("text_crc32", F.crc32(raw))
@@ -92,6 +92,8 @@ def shard_documents(df: DataFrame, shards: int = 16, text: str = "text", key: st
         return pd.Series(hilbert_index(cell.to_numpy(), bits))
 
     rows = rows.withColumn("curve", curve(F.struct(*cells))).drop(*cells)
+    if carry is not None:
+        rows = rows.select(*carry, "size", "text_crc32", "curve")
     ranked = global_rank(rows, ["curve", "text_crc32", key], "__rank", "shards")
     if law == "rows":
         n = ranked.count()

@@ -256,6 +256,8 @@ def test_shards(spark, law):
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
     again = {(r.doc_id, r.shard, r.slot, r.text) for r in shards.shard_documents(df.repartition(3), 16, law=law).collect()}
     assert again == {(r.doc_id, r.shard, r.slot, r.text) for r in got}
+    thin = shards.shard_documents(df, 16, law=law, carry=["doc_id"])
+    assert "text" not in thin.columns and {(r.doc_id, r.shard, r.slot) for r in thin.collect()} == {x[:3] for x in again}
 
 
 def test_shards_few_and_none(spark):
