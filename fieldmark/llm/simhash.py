@@ -354,7 +354,11 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id",
     mark = F.xxhash64(F.col(text))
     found = simhash_components(df, text, key, distance, {"__mark": mark})
     kept = found.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), F.col("__mark").alias("m"))).alias("x"))
-    kept = materialize(kept.select("x.k", "x.m"), "kept")
-    rows = df.withColumn("__mark", mark)
-    rows = rows.join(kept, rows[key].eqNullSafe(kept["k"]) & (rows["__mark"] == kept["m"]), "left_semi")
-    return rows.dropDuplicates([key, "__mark"]).select(*df.columns)
+    by = ["__key", "__none", "__mark"]  # one partitioning serves the join and the choice among equal rows
+    kept = kept.select(*_null_safe("x.k"), F.col("x.m").alias("__mark"))
+    rows = df.select("*", *_null_safe(key), mark.alias("__mark"))
+    return rows.join(materialize(kept, "kept"), by, "left_semi").dropDuplicates(by).select(*df.columns)
+
+
+def _null_safe(key: str) -> list[F.Column]:
+    return [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"), F.col(key).isNull().alias("__none")]
