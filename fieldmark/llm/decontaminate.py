@@ -33,6 +33,8 @@ SIEVE_BITS = 24
 UNITS = "g kg mg lb lbs oz m km cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh percent dollar dollars cent cents euro euros pound pounds degree degrees".split()
 #: Words that are numbers.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+#: Characters after which a capital letter may begin a sentence.
+STOPS = ".!?:;\n\r\"'()[]|*“”"
 _WORD, _NUMBER, _UNIT, _NAME = 0, 1, 2, 3
 _MARKS = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333], np.uint64)
 _PLAIN, _TEMPLATE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -49,7 +51,9 @@ _FIXED: list = []
 
 def _fixed() -> list[np.ndarray]:
     if not _FIXED:
-        _FIXED.extend((_hashes_of(NUMBER_WORDS), _hashes_of(UNITS)))
+        stops = np.zeros(0x10000, bool)
+        stops[[ord(c) for c in STOPS]] = True
+        _FIXED.extend((_hashes_of(NUMBER_WORDS), _hashes_of(UNITS), stops))
     return _FIXED
 
 
@@ -72,7 +76,7 @@ class Tokens:
         self.type = np.zeros(n, np.uint8)
         if not n:
             return
-        numbers, units = _fixed()
+        numbers, units, _ = _fixed()
         digits = kind[self.starts] == sw.DIGIT
         self.type[digits | _is_in(self.hash, numbers)] = _NUMBER
         upper = sw.tables()[2]
@@ -82,15 +86,13 @@ class Tokens:
         if capital.any():
             at = np.flatnonzero(capital)
             at = at[at > 0]
-            for i in at[self._after_word(cp, at)].tolist():
-                self.type[i] = _NAME
+            self.type[at[self._after_word(cp, at)]] = _NAME
         after_number = np.concatenate(([False], self.type[:-1] == _NUMBER))
         self.type[after_number & (self.type == _WORD) & _is_in(self.hash, units)] = _UNIT
 
     def _after_word(self, cp: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether nothing but a blank, comma, dash or the like stands between a token and the one before."""
-        gap = np.isin(cp, np.frombuffer(".!?:;\n\r\"'()[]|*“”".encode("utf-32-le"), np.uint32))
-        ends = np.concatenate(([0], np.cumsum(gap)))
+        ends = np.concatenate(([0], np.cumsum(_fixed()[2][np.minimum(cp, 0xFFFF)])))
         return ends[self.starts[at]] == ends[self.ends[at - 1]]
 
     def windows(self, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
