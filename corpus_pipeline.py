@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import decontaminate, mixing, shards, simhash, toxicity
+from fieldmark.llm import decontaminate, mixing, shards, similar, toxicity
 from fieldmark.llm.common import id_mod, materialize, table
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that of the least id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of documents that links of 0.8 or more of their five-word shingles connect, that of the least id stays."""
+    return similar.drop_near_duplicates(docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

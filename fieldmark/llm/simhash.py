@@ -351,8 +351,12 @@ def fingerprint_hex(fp: str) -> F.Column:
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """One row of each component stays: that of the least (key, checksum of the text); of equal rows one."""
+    return keep_least(df, simhash_components(df, text, key, distance, {"__mark": F.xxhash64(F.col(text))}), text, key)
+
+
+def keep_least(df: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """The row of df of the least (key, __mark) of each root of found; of equal rows one."""
     mark = F.xxhash64(F.col(text))
-    found = simhash_components(df, text, key, distance, {"__mark": mark})
     kept = found.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), F.col("__mark").alias("m"))).alias("x"))
     by = ["__key", "__none", "__mark"]  # one partitioning serves the join and the choice among equal rows
     kept = kept.select(*_null_safe("x.k"), F.col("x.m").alias("__mark"))

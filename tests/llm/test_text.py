@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldmark.llm import catalog, decontaminate, langid, quality, simhash, subwords, toxicity
+from fieldmark.llm import catalog, decontaminate, langid, quality, similar, simhash, subwords, toxicity
 from fieldmark.llm.common import id_mod, table
 
 SF, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -324,6 +324,60 @@ def test_near_duplicates_go(spark):
     assert len(comps) == len(rows)
 
 
+def brute_jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_duplicates_of_shingle_similarity_go(spark):
+    """Texts at 0.8 to 1 by five-word shingles go although SimHash has most of them beyond 4 bits; texts under 0.8 stay."""
+    rnd = random.Random(7)
+    rows, want, far = [], set(), 0
+    for i in range(24):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        changed = list(words)
+        for k in range(5 if i < 16 else 9):
+            changed[20 + 30 * k] = "other"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+        j = brute_jaccard(rows[-1][1], rows[-2][1])
+        assert (j >= 0.8) == (i < 16)
+        want |= {2 * i} if j >= 0.8 else {2 * i, 2 * i + 1}
+        far += i < 16 and (simhash.fingerprint(rows[-1][1]) ^ simhash.fingerprint(rows[-2][1])).bit_count() > simhash.DISTANCE
+    assert far >= 12
+    chain = rows[0][1].split()  # a copy of a copy, and of it, each at 0.8 or more of the one before
+    for k in range(3):
+        chain[150 + 40 * k] = f"chain{k}"
+        rows.append((100 + k, " ".join(chain)))
+    rows += [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, "a c"), (None, "x"), (None, "x")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = collections.Counter(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect())
+    assert got == collections.Counter([*want, 200, 202, 204, None])
+
+
+def test_near_duplicates_by_brute_force(spark):
+    docs = table(spark, MID, "documents")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    sets = [set(similar.shingles(t).tolist()) for _, t in rows]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, n in collections.Counter(j for x in s for j in holders[x] if j < i).items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = [rows[i][0] for i in range(len(rows)) if top(i) == i and (sets[i] or not any(not s for s in sets[:i]))]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, MID).collect()) == want
+
+
 # --- Decontamination ---------------------------------------------------------------------------------------------------
 
 ITEM = "On Monday Alice Brown drove 120 miles from Denver to Lincoln in 3 hours; later Alice returned 120 miles by train."
