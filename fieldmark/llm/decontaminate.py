@@ -1,9 +1,10 @@
 """Benchmark decontamination by template windows.
 
-A text is cut into tokens (runs of letters, runs of digits). Numbers, units after a number, and names (capitalised words
+A text is cut into tokens (runs of letters, runs of digits, single letters of scripts without spaces). Numbers, units after a number, and names (capitalised words
 that don't begin a sentence) become typed placeholders; other words are lower-cased. Windows of WINDOW tokens are
 hashed, in two streams: templates (all placeholders) and plain (numbers alone), so a change of case still matches.
-Template windows that have fewer than LITERALS words of their own are left out of their stream.
+Windows that have fewer than LITERALS words of their own are left out of these streams; those that plain leaves out are
+hashed as they are, in an exact stream, so every window of an item is looked for at least word for word.
 
 Documents' windows are sieved by a bitmap of fixed size made from the benchmark's windows, then hash-joined with them.
 Matches of one document and item that lie on one diagonal (document place less item place) are aligned token by
@@ -11,8 +12,9 @@ token: their slots must be consistent, i.e. one value of the item always stands
 Inconsistent diagonals don't count. An item is leaked if a consistent diagonal covers LEAST_RUN of its tokens, or all
 of them together cover half of it.
 
-Defined cases: null and empty texts have no window; an item with fewer than WINDOW tokens is one window of its own length,
-items under LEAST_ITEM tokens are never looked for; repeated rows and repeated items are found each; null ids take part;
+Defined cases: null and blank texts have no window; an item with fewer than WINDOW tokens is one window of its own length,
+items under LEAST_ITEM tokens are in the exact stream alone; in items without letters and digits each character is a
+token, and documents are cut the same way for them; repeated rows and repeated items are found each; null ids take part;
 very long texts are hashed whole; empty tables give nothing; extra columns of documents stay.
 """
 
@@ -37,7 +39,9 @@ NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twe
 STOPS = ".!?:;\n\r\"'()[]|*“”"
 _WORD, _NUMBER, _UNIT, _NAME = 0, 1, 2, 3
 _MARKS = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333], np.uint64)
-_PLAIN, _TEMPLATE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_PLAIN, _TEMPLATE, _EXACT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
+#: First and last code points of scripts without spaces (Thai to Tibetan, Myanmar, Khmer, Tai, kana, Han).
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -62,19 +66,40 @@ def _is_in(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == h
 
 
+def _split(cp: np.ndarray, kind: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens, letters of scripts without spaces being tokens of their own."""
+    if not len(cp) or cp.max() < UNSPACED[0][0]:
+        return starts, ends
+    alone = np.zeros(len(cp), bool)
+    for lo, hi in UNSPACED:
+        alone |= (cp >= lo) & (cp <= hi)
+    alone &= kind == sw.LETTER
+    if not alone.any():
+        return starts, ends
+    cut = np.flatnonzero(alone)
+    inside = kind[1:] == kind[:-1]
+    after = np.flatnonzero(alone[:-1] & inside) + 1
+    before = cut[(cut > 0) & np.concatenate(([False], inside))[cut]]
+    return np.unique(np.concatenate((starts, cut, after))), np.unique(np.concatenate((ends, cut + 1, before)))
+
+
 class Tokens:
-    """A text's tokens: their hashes, types and places."""
+    """A text's tokens: their hashes, types and places. With bare, each character that isn't blank is one."""
 
-    def __init__(self, text: str):
-        self.text = text
+    def __init__(self, text: str, bare: bool = False):
+        self.text, self.bare = text, bare
         cp = sw.codepoints(text)
         kind = sw.classes(cp)
         low = sw.lowered(cp)
-        self.starts, self.ends = sw.tokens(cp, kind)
+        if bare:
+            self.starts = np.array([i for i, c in enumerate(text) if not c.isspace()], np.int64)
+            self.ends = self.starts + 1
+        else:
+            self.starts, self.ends = _split(cp, kind, *sw.tokens(cp, kind))
         self.hash = sw.token_hashes(low, self.starts, self.ends)
         n = len(self.starts)
         self.type = np.zeros(n, np.uint8)
-        if not n:
+        if not n or bare:
             return
         numbers, units, _ = _fixed()
         digits = kind[self.starts] == sw.DIGIT
@@ -96,10 +121,14 @@ class Tokens:
         return ends[self.starts[at]] == ends[self.ends[at - 1]]
 
     def windows(self, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(places, hashes) of the plain and of the template stream."""
+        """(places, hashes) of the plain, the template and the exact stream."""
         m = len(self.hash) - size + 1
         if m <= 0:
             return []
+        if self.bare or size < LEAST_ITEM:  # whole items: of equal windows the first
+            h = self._exact(np.arange(m), size)
+            at = np.sort(np.unique(h, return_index=True)[1]) if size < WINDOW else np.arange(m)
+            return [(at, h[at])]
         out = []
         for salt, slots in ((_PLAIN, self.type == _NUMBER), (_TEMPLATE, self.type != _WORD)):
             t = np.where(slots, _MARKS[self.type], self.hash)
@@ -107,33 +136,44 @@ class Tokens:
             for k in range(size):
                 h = h * _STEP + t[k : k + m]
             literal = np.concatenate(([0], np.cumsum(~slots)))
-            at = np.flatnonzero(literal[size:] - literal[:-size] >= min(LITERALS, size - 1))
+            enough = literal[size:] - literal[:-size] >= min(LITERALS, size - 1)
+            at = np.flatnonzero(enough)
             if salt == _TEMPLATE:  # windows without names and units are in the plain stream
                 more = np.concatenate(([0], np.cumsum(self.type >= _UNIT)))
                 at = at[(more[size:] - more[:-size])[at] > 0]
+            else:
+                few = np.flatnonzero(~enough)
             out.append((at, sw.mix(h[at])))
-        return out
+        return [*out, (few, self._exact(few, size))]
+
+    def _exact(self, at: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(len(at), _EXACT + np.uint64(size + WINDOW * self.bare), np.uint64)
+        for k in range(size):
+            h = h * _STEP + self.hash[at + k]
+        return sw.mix(h)
 
     def slots(self, at: int, size: int) -> list[dict]:
         return [{"at": i, "value": self.text[self.starts[i] : self.ends[i]].lower()} for i in range(at, at + size) if self.type[i] != _WORD]
 
 
 def benchmark_windows(items: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
-    """item, n_tokens, at, size, h, slots of all windows of the items."""
+    """item, n_tokens, bare, at, size, h, slots of all windows of the items."""
 
     def make(texts: list) -> dict[str, list]:
         rows = []
         for text_ in texts:
             t = Tokens(text_ or "")
+            if not len(t.hash):
+                t = Tokens(text_ or "", bare=True)
             n, row = len(t.hash), []
-            if n >= LEAST_ITEM:
+            if n:
                 size = min(WINDOW, n)
                 for places, hashes in t.windows(size):
-                    row += [{"n_tokens": n, "at": int(p), "size": size, "h": int(h), "slots": t.slots(int(p), size)} for p, h in zip(places, hashes.view(np.int64))]
+                    row += [{"n_tokens": n, "bare": t.bare, "at": int(p), "size": size, "h": int(h), "slots": t.slots(int(p), size)} for p, h in zip(places, hashes.view(np.int64))]
             rows.append(row)
         return {"w": rows}
 
-    schema = "w array<struct<n_tokens:int,at:int,size:int,h:long,slots:array<struct<at:int,value:string>>>>"
+    schema = "w array<struct<n_tokens:int,bare:boolean,at:int,size:int,h:long,slots:array<struct<at:int,value:string>>>>"
     return map_columns(items, [key], [text], make, schema).select(F.col(key).alias("item"), F.explode("w").alias("w")).select("item", "w.*")
 
 
@@ -146,14 +186,15 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
     marks = given.groupBy(F.shiftright(place, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(h, {64 - SIEVE_BITS}) & 7 as int))")).alias("bits"))
     for batch in marks.toLocalIterator():  # at most 2**(SIEVE_BITS - 3) rows
         sieve[batch.byte] = batch.bits
-    sizes = [r[0] for r in given.select("size").distinct().collect()]  # at most WINDOW
+    shapes = sorted(tuple(r) for r in given.select("bare", "size").distinct().collect())  # at most 2 * WINDOW
     shared = spark.sparkContext.broadcast(sieve)
 
     def make(texts: list) -> dict[str, list]:
         rows, marked = [], []
         for text_ in texts:
-            t, row = Tokens(text_ or ""), []
-            for size in sizes:
+            cut, row = {bare: Tokens(text_ or "", bare) for bare in {b for b, _ in shapes}}, []
+            for bare, size in shapes:
+                t = cut[bare]
                 for places, hashes in t.windows(size):
                     p = hashes >> np.uint64(64 - SIEVE_BITS)
                     near = (shared.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1

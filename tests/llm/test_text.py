@@ -407,6 +407,15 @@ def test_leaks(spark):
     assert (0, 1) not in leaks(spark, [broken])
 
 
+def test_leaks_of_numbers_short_items_and_unspaced_scripts(spark):
+    items = ["What is 25 times 13?", "Solve 12x + 7 = 3x + 52.", "What is 3/4 + 5/6 - 7/8 + 9/10 - 11/12?", "Continue the sequence: 1, 4, 9, 16, 25, 36, 49, 64, 81, 100, 121, 144, 169.", "Why me?", "日本の首都はどこですか", "ประเทศไทย", "∑ ≠ ∞", "Über", "½"]
+    texts = [f"{FILL}. {x} {FILL}" for x in items[:5]] + [f"昔{items[5]}今", f"กา{items[6]}กา", "so ∑≠∞ it is", "ÜBER alles", "a ½ b ½"]
+    others = ["What is 26 times 13?", "Solve 12x + 8 = 3x + 52.", "why not me", "日本の国", "∑ ∞ ≠", FILL]
+    got = leaks(spark, texts + others, list(enumerate(items)))
+    assert set(got) == {(i, i) for i in range(len(items))}
+    assert all(decontaminate.Tokens(t).hash.size == n for t, n in (("日本x1 語", 5), ("ab日", 2), ("", 0)))
+
+
 def test_leaks_empty_and_repeated(spark):
     assert leaks(spark, []) == {} and leaks(spark, [OTHER], [(1, None)]) == {}
     got = leaks(spark, [OTHER, OTHER], [(1, OTHER), (2, OTHER)])
