@@ -9,8 +9,9 @@ hashed as they are, in an exact stream, so every window of an item is looked for
 Documents' windows are sieved by a bitmap of fixed size made from the benchmark's windows, then hash-joined with them.
 Matches of one document and item that lie on one diagonal (document place less item place) are aligned token by
 token: their slots must be consistent, i.e. one value of the item always stands for one value in the document.
-Inconsistent diagonals don't count. An item is leaked if a consistent diagonal covers LEAST_RUN of its tokens, or all
-of them together cover half of it.
+Of an inconsistent diagonal the windows without a contradicting slot count; a slot contradicts unless its reading is that
+of more than half of its value's places. An item is leaked if such windows of a diagonal cover LEAST_RUN of its tokens, or
+all consistent diagonals together cover half of it: a short item with one of two equal values changed is another question.
 
 Defined cases: null and blank texts have no window; an item with fewer than WINDOW tokens is one window of its own length,
 items under LEAST_ITEM tokens are in the exact stream alone; in items without letters and digits each character is a
@@ -214,14 +215,17 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
     lines = hits.groupBy(*by).agg(F.max("n_tokens").alias("n_tokens"), F.max("size").alias("size"), F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))  # bounded by the item's tokens
     consistent = F.expr("size(array_distinct(transform(filter(pairs, p -> p.found is not null), p -> p.asked))) = size(array_distinct(transform(filter(pairs, p -> p.found is not null), p -> struct(p.asked, p.found))))")
     same = F.expr("forall(pairs, p -> p.asked <=> p.found)")
-    lines = lines.where(consistent).withColumn("same", same).withColumn("run", _covered("places", "size"))
-    # All consistent diagonals of a document and item together: distinct item places, again bounded by the item.
+    contradicting = F.expr("transform(filter(pairs, p -> p.found is not null and 2 * size(filter(pairs, q -> q.asked = p.asked and q.found = p.found)) <= size(filter(pairs, q -> q.asked = p.asked and q.found is not null))), p -> p.at)")
+    lines = lines.withColumn("consistent", consistent).withColumn("same", same).withColumn("against", F.when(F.col("consistent"), F.expr("cast(array() as array<int>)")).otherwise(contradicting))
+    lines = lines.withColumn("places", F.expr("filter(places, p -> not exists(against, x -> x >= p and x < p + size))")).where("size(places) > 0").withColumn("run", _covered("places", "size"))
+    # All diagonals of a document and item together: distinct item places, again bounded by the item.
     runs = lines.groupBy("key", "mark", "item").agg(F.max("run").alias("run"), F.min("same").alias("verbatim"), F.max("n_tokens").alias("n_tokens"), F.max("size").alias("size"))
-    places = lines.select("key", "mark", "item", F.explode("places").alias("p")).distinct().groupBy("key", "mark", "item").agg(F.array_sort(F.collect_list("p")).alias("places"))
+    each = lines.select("key", "mark", "item", "consistent", F.explode("places").alias("p")).groupBy("key", "mark", "item", "p").agg(F.max("consistent").alias("consistent"))
+    places = each.groupBy("key", "mark", "item").agg(F.array_sort(F.collect_list("p")).alias("places"), F.array_sort(F.collect_list(F.when(F.col("consistent"), F.col("p")))).alias("consistent"))
     runs = runs.withColumnsRenamed({"key": "k", "mark": "m", "item": "i"})
     both = places.join(runs, places["key"].eqNullSafe(runs["k"]) & (places["mark"] == runs["m"]) & places["item"].eqNullSafe(runs["i"]))
     both = both.withColumn("covered", _covered("places", "size"))
-    leaked = (F.col("run") >= LEAST_RUN) | (F.col("covered") >= F.col("n_tokens") * COVER)
+    leaked = (F.col("run") >= LEAST_RUN) | (_covered("consistent", "size") >= F.col("n_tokens") * COVER)
     return both.where(leaked).select("key", "mark", "item", "covered", "n_tokens", "verbatim")
 
 

@@ -416,6 +416,17 @@ def test_leaks_of_numbers_short_items_and_unspaced_scripts(spark):
     assert all(decontaminate.Tokens(t).hash.size == n for t, n in (("日本x1 語", 5), ("ab日", 2), ("", 0)))
 
 
+def test_leaks_beside_a_contradicting_slot(spark):
+    long = f"{ITEM} On Friday the farmer asked Alice how many apples were left in the old barn, and Alice counted 48 apples before the evening train left the station."
+    first = long.replace("Alice", "Alicia", 1)
+    last = "Alicia".join(long.rsplit("Alice", 1))
+    renamed = long.replace("Alice", "Maria").replace("Maria", "Marta", 1)
+    twice = long.replace("120", "450", 1)
+    got = leaks(spark, [first, last, renamed, twice, long], [(1, long)])
+    assert set(got) == {(i, 1) for i in range(5)}
+    assert [got[i, 1].verbatim for i in range(1, 5)] == [False] * 3 + [True] and got[4, 1].covered == got[4, 1].n_tokens > got[1, 1].covered
+
+
 def test_leaks_empty_and_repeated(spark):
     assert leaks(spark, []) == {} and leaks(spark, [OTHER], [(1, None)]) == {}
     got = leaks(spark, [OTHER, OTHER], [(1, OTHER), (2, OTHER)])
