@@ -48,8 +48,11 @@ def _labels(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(id_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
-    return quality.score_quality(docs, quality.fit(docs, _labels(spark, sf_dir, "quality")), ["doc_id", "held_out"])
+    """The metadata column is the text's size in powers of two, so it interacts with words and statistics."""
+    size = F.floor(F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(id_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), size.alias("size"))
+    model = quality.fit(docs, _labels(spark, sf_dir, "quality"), metadata=("size",))
+    return quality.score_quality(docs, model, ["doc_id", "held_out"], metadata=("size",))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +80,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_text(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    """All are declared as application/octet-stream, so the sniffed type and the carved extents tell how to read them."""
+    stored = media.store_text(table(spark, sf_dir, "documents"), "text", ["doc_id"], forms=tuple(media.FORMS))
     return media.media_features(stored, ["doc_id", "n_bytes"])
 
 

@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns are sorted within their conversation (by turn, then role, then text; nulls first), adjacent turns of one role
-are merged into one block, and the pieces are collected into an array and concatenated:
+The turns of a conversation are collected as structs and sorted (by turn, then role, then text, as they are given;
+nulls first, null role and text being empty). Adjacent turns of one role are merged into one block: the blocks' starts are
+the places where the role changes, and a block has the array of its turns' texts. The blocks' pieces are concatenated:
 
     <|im_start|>role NEWLINE text [<|im_sep|>text ...] <|im_end|>NEWLINE
 
@@ -11,14 +12,14 @@ a role's line breaks become "&#10;". read_turns() undoes both.
 The loss mask is kept by segment: segments is an array of (text, loss) whose texts concatenate to formatted; loss is
 true for the texts of assistant turns alone.
 
-Defined cases: null text or role is empty; null turn sorts first; a null conversation id is a conversation of its
-own; repeated rows stay as turns of their own; an empty table gives none. Other columns of the input are left out.
-A conversation's own text is the one thing that must fit in a row; sorting and offsets are done by a window that spills.
+Defined cases: null text or role is empty; null turn sorts first; null conversation ids are one conversation;
+repeated rows stay as turns of their own; an empty table gives none. Other columns of the input are left out, whatever
+their names. Texts and conversations are of any length that fits in a row, which one conversation's result is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -35,34 +36,27 @@ def unescape(c: Column) -> Column:
 
 def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a conversation: conv, formatted, segments."""
-    rows = df.select(
-        F.col(conv).alias("__conv"),
-        F.col(turn).alias("__turn"),
-        F.replace(escape(F.coalesce(F.col(role).cast("string"), F.lit(""))), F.lit("\n"), F.lit("&#10;")).alias("__role"),
-        escape(F.coalesce(F.col(text), F.lit(""))).alias("__text"),
-    )
-    order = Window.partitionBy("__conv").orderBy("__turn", "__role", "__text")
-    before, after = F.lag("__role").over(order), F.lead("__role").over(order)
-    rows = rows.select(
-        "__conv",
-        F.row_number().over(order).alias("n"),
-        F.when(before.eqNullSafe(F.col("__role")), F.lit(SEP)).otherwise(F.concat(F.lit(START), "__role", F.lit("\n"))).alias("head"),
-        F.col("__text").alias("body"),
-        F.when(after.eqNullSafe(F.col("__role")), F.lit("")).otherwise(F.lit(END + "\n")).alias("tail"),
-        (F.col("__role") == LOSS_ROLE).alias("loss"),
-    )
-    turns = rows.groupBy("__conv").agg(F.array_sort(F.collect_list(F.struct("n", "head", "body", "tail", "loss"))).alias("turns"))
-    segments = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.array(
-                F.struct(t["head"].alias("text"), F.lit(False).alias("loss")),
-                F.struct(t["body"].alias("text"), t["loss"].alias("loss")),
-                F.struct(t["tail"].alias("text"), F.lit(False).alias("loss")),
-            ),
-        )
-    )
-    done = turns.select(F.col("__conv").alias(conv), F.filter(segments, lambda s: s["text"] != "").alias("segments"))
+    given = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    turns = df.select(F.col(conv).alias("conv"), given.alias("t")).groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    starts = F.filter(F.transform("turns", lambda t, i: F.when((i > 0) & (t["role"] == F.get("turns", i - 1)["role"]), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    turns = turns.select("conv", "turns", starts.alias("starts"))
+
+    def block(start: Column, k: Column) -> Column:
+        upto = F.coalesce(F.get("starts", k + 1), F.size("turns"))
+        role_ = F.get("turns", start)["role"]
+        texts = F.transform(F.slice("turns", start + 1, upto - start), lambda t: escape(t["text"]))
+        return F.struct(F.replace(escape(role_), F.lit("\n"), F.lit("&#10;")).alias("role"), (role_ == LOSS_ROLE).alias("loss"), texts.alias("texts"))
+
+    def piece(value: Column, loss: Column) -> Column:
+        return F.struct(value.alias("text"), loss.alias("loss"))
+
+    def pieces(b: Column) -> Column:
+        head = F.array(piece(F.concat(F.lit(START), b["role"], F.lit("\n")), F.lit(False)))
+        body = F.flatten(F.transform(b["texts"], lambda x, i: F.array(piece(F.when(i == 0, F.lit("")).otherwise(F.lit(SEP)), F.lit(False)), piece(x, b["loss"]))))
+        return F.concat(head, body, F.array(piece(F.lit(END + "\n"), F.lit(False))))
+
+    blocks = turns.select("conv", F.transform("starts", block).alias("blocks"))
+    done = blocks.select(F.col("conv").alias(conv), F.filter(F.flatten(F.transform("blocks", pieces)), lambda s: s["text"] != "").alias("segments"))
     return done.select(conv, F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 

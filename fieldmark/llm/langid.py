@@ -5,12 +5,15 @@ of MOST_GRAM characters; if none of them is known the next shorter ones are trie
 scores the mean over its known n-grams. A word or n-gram that a language lacks scores PENALTY there. A text scores the
 mean over its words; the best language wins, of equal ones the first in code point order.
 
-The model is learned from about SAMPLE texts a language (picked by a hash of the id), and keeps the most frequent WORDS
-words and WORDS n-grams a language; these are bounds of the model, every text is scored in full.
+Bounds of the model: it is learned from at most SAMPLE texts a language (picked by a hash of id and text), and keeps the
+most frequent WORDS words and WORDS n-grams a language (of equal counts the first in code point order), which bounds what
+is broadcast. Any number of languages is learned. Every text is scored in full. See the README for held-out figures at other
+values.
 
 Defined cases: a null text or one without a letter gives "und" and score 0, and so does a model without any language;
 words of unknown letters alone give the first language with score 1/languages; very long texts are scored whole;
-repeated rows are scored each; extra columns are left out but for those asked for.
+repeated rows are scored each and learned once; null ids are learned from like any other; extra columns are left out but for
+those asked for, and of these those named lang_pred or score.
 """
 
 from __future__ import annotations
@@ -87,7 +90,7 @@ class Model:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, most_words: int = WORDS) -> Model:
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    picked = bounded_sample(known, "lang", sample, "key")
+    picked = bounded_sample(known, "lang", sample, "key", "text")
 
     def count(langs: list, texts: list) -> dict[str, list]:
         sums: dict[str, Counter] = {}

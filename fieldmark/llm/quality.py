@@ -6,11 +6,14 @@ The pairwise interactions of all features are summed in linear time by that iden
 hashed (weight: log count, scaled to length WORD_NORM), the cell of each structure statistic (weight 1), and the
 cell of each metadata column that the caller names (weight 1). w, v and b are trained by Adagrad on log loss.
 
-Training reads SAMPLE labelled texts a class (picked by a hash of the id); class weights restore the classes' shares.
+Bounds of the model: training reads at most SAMPLE labelled texts a class (picked by a hash of id and text; class weights
+restore the classes' shares), and features that fewer than LEAST_DOCS of them have are left out (0 keeps all). See the README for
+held-out figures at other values.
 
 Defined cases: null texts are empty; empty texts have their statistics' lowest cells and are scored; without labelled rows of
-both classes the score is the share of class 1 (0.5 without any); null metadata are a cell of their own; texts are
-scored whole; repeated rows are scored each; extra columns are left out but for those asked for.
+both classes the score is the share of class 1 (0.5 without any); null metadata are a cell of their own; texts of any length are
+scored whole; repeated rows are scored each and learned once; extra columns are left out but for those asked for, and
+of these those named score or predicted.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sparse
-from .common import labelled_sample, map_columns
+from .common import fresh, labelled_sample, map_columns
 
 WORD_BITS, FACTORS, CELLS = 15, 6, 12
 SAMPLE, EPOCHS, BATCH, RATE, DECAY, WORD_NORM, LEAST_DOCS = 1500, 10, 64, 0.1, 1e-4, 0.5, 5
@@ -128,17 +131,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", metadata: tuple[str, ...] = (), sample: int = SAMPLE) -> Model:
     """From documents with a label of 0 or 1; other labels are left out. metadata are columns of docs."""
-    names = [f"__meta{i}" for i in range(len(metadata))]
-    packed = docs.select(F.col(key), F.struct(F.col(text).alias("text"), *[F.col(c).cast("string").alias(n) for c, n in zip(metadata, names)]).alias("__all"))
-    counts, rows = labelled_sample(packed, labels, "__all", label, key, sample)
-    rows = rows.select("label", "key", "text.text", *[f"text.{n}" for n in names])
+    names = [f"meta{i}" for i in range(len(metadata))]
+    packed = docs.select(F.col(key).alias("key"), F.struct(F.col(text).alias("text"), *[F.col(c).cast("string").alias(n) for c, n in zip(metadata, names)]).alias("all"))
+    counts, rows = labelled_sample(packed, labels.select(F.col(key).alias("key"), F.col(label).alias("label")), "all", "label", "key", sample)
+    rows = rows.select("label", "key", F.xxhash64("text").alias("mark"), "text.text", *[f"text.{n}" for n in names])
 
     def make(texts: list, *meta: list) -> dict[str, list]:
         found = [features(t, m) for t, m in zip(texts, zip(*meta) if meta else [()] * len(texts))]
         return {"i": [f[0].tolist() for f in found], "x": [f[1].tolist() for f in found]}
 
-    picked = map_columns(rows, ["label", "key"], ["text", *names], make, "i array<int>, x array<float>")
-    table = picked.orderBy("key").toArrow()  # bounded by sample and by SIZE
+    picked = map_columns(rows, ["label", "key", "mark"], ["text", *names], make, "i array<int>, x array<float>")
+    table = picked.orderBy("key", "mark").toArrow()  # bounded by sample and by SIZE
     pairs = [(np.array(i.values, dtype=np.int32), np.array(x.values, dtype=np.float32)) for i, x in zip(table["i"], table["x"])]
     y = np.array(table["label"])
     del table
@@ -153,6 +156,6 @@ def score_quality(df: DataFrame, model: Model, keep: list[str], text: str = "tex
         scores = [shared.value.score(t, m) for t, m in zip(texts, zip(*meta) if meta else [()] * len(texts))]
         return {"score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
-    names = [f"__meta{i}" for i in range(len(metadata))]
+    names = [fresh(df, f"meta{i}__") for i in range(len(metadata))]
     df = df.withColumns({n: F.col(c).cast("string") for c, n in zip(metadata, names)})
     return map_columns(df, keep, [text, *names], make, "score double, predicted int")

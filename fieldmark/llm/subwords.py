@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -45,24 +46,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def gram_hashes(cp: np.ndarray, kind: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
     """uint64 hashes of all n-grams of the words, a mark at either end being a character; cp is lowered."""
-    marked = np.concatenate(([0], np.where(kind == OTHER, 0, cp), [0])).astype(np.uint64)
-    inside = marked != 0
-    out = []
+    return np.concatenate([np.zeros(0, np.uint64), *gram_pieces(cp, kind, sizes)])
+
+
+def gram_pieces(cp: np.ndarray, kind: np.ndarray, sizes: tuple[int, ...], piece: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The same piece by piece, so that the arrays are bounded: an n-gram belongs to the piece that it begins in, and a piece
+    reads on as far as its last n-gram does. No n-gram is lost or counted twice at a piece's end.
+    """
+    marked = np.concatenate(([0], np.where(kind == OTHER, 0, cp), [0])).astype(np.uint32)
     for n in sizes:
-        m = len(marked) - n + 1
-        if m <= 0:
-            continue
-        good = np.ones(m, bool)
-        for k in range(1, n - 1):
-            good &= inside[k : k + m]
-        if n <= 2:
-            good &= inside[:m] | inside[n - 1 :]
-        at = np.flatnonzero(good)
-        h = np.full(len(at), n, np.uint64)
-        for k in range(n):
-            h = h * _M1 + marked[at + k]
-        out.append(mix(h))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        for begin in range(0, len(marked) - n + 1, piece):
+            part = marked[begin : begin + piece + n - 1]
+            m = len(part) - n + 1
+            inside, good = part != 0, np.ones(m, bool)
+            for k in range(1, n - 1):
+                good &= inside[k : k + m]
+            if n <= 2:
+                good &= inside[:m] | inside[n - 1 :]
+            at = np.flatnonzero(good)
+            h = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                h = h * _M1 + part[at + k]
+            yield mix(h)
 
 
 def tokens(cp: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,18 +5,20 @@ Of the rules that fit, the one with the most host labels wins, then the one with
 the first in order (verdict block before allow). Urls that no rule fits get the default verdict.
 
 Defined cases: a null url, or one without "://", has host and path "" and gets the default verdict (a rule with an
-empty host fits every url, these too). Very long urls are walked once. Repeated rows are judged each. Rules may be
-empty. Columns of the input named host, path, rule or verdict are replaced.
+empty host fits every url, these too). Very long urls are walked once: at each node a segment is looked up once for each
+length that the node's rules have. Repeated rows are judged each. Rules may be empty. Columns of the input named host,
+path, rule or verdict are replaced, and other names can't clash.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import fresh, map_columns
 
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -61,7 +63,10 @@ class HostPathTrie:
                     node = node.children.setdefault(segment, _Node())
             else:
                 last = ""
-            node.prefixes.setdefault(last, rule)
+            if last not in node.prefixes:
+                node.prefixes[last] = rule
+                if len(last) not in node.lengths:
+                    insort(node.lengths, len(last))
 
     def find(self, host: str, path: str) -> Rule | None:
         found, node, segments = None, self.root, None
@@ -76,22 +81,24 @@ class HostPathTrie:
 
 
 class _Node:
-    __slots__ = ("children", "paths", "prefixes")
+    """lengths: those of the prefixes, ascending."""
+
+    __slots__ = ("children", "paths", "prefixes", "lengths")
 
     def __init__(self):
         self.children: dict[str, _Node] = {}
         self.paths: _Node | None = None
         self.prefixes: dict[str, Rule] = {}
+        self.lengths: list[int] = []
 
 
 def _longest(node: _Node, segments: list[str]) -> Rule | None:
     found = None
     for segment in segments:
-        if node.prefixes:
-            for n in sorted({len(p) for p in node.prefixes if len(p) <= len(segment)}, reverse=True):
-                if rule := node.prefixes.get(segment[:n]):
-                    found = rule
-                    break
+        for i in range(bisect_right(node.lengths, len(segment)) - 1, -1, -1):
+            if rule := node.prefixes.get(segment[: node.lengths[i]]):
+                found = rule
+                break
         if (node := node.children.get(segment)) is None:
             break
     return found
@@ -122,18 +129,20 @@ def filter_urls(df: DataFrame, rules: list[Rule] | DataFrame, url: str = "url",
 
 
 def _by_join(df: DataFrame, rules: DataFrame, url: str, default: str) -> DataFrame:
-    urls = df.select(F.col(url).alias("__url")).distinct()
-    parts = urls.withColumn("__rest", F.coalesce(F.regexp_extract(F.when(F.instr("__url", "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")), r"(?s)^[^?#]*", 0), F.lit("")))
-    host = F.translate(F.substring_index("__rest", "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.when(F.instr("__rest", "/") > 0, F.expr("substring(__rest, instr(__rest, '/'))")).otherwise("")
-    parts = parts.select("__url", host.alias("host"), path.alias("path"))
-    keys = parts.withColumn("__labels", F.split("host", r"\."))
-    keys = keys.withColumn("__h", F.explode(F.expr("concat(array(''), if(host = '', array(), transform(sequence(1, size(__labels)), n -> array_join(slice(__labels, -n, n), '.'))))")))
-    keys = keys.withColumn("__segments", F.split("path", "/")).withColumn("__d", F.explode(F.expr("concat(array(''), if(size(__segments) < 2, array(), transform(sequence(1, size(__segments) - 1), n -> concat(array_join(slice(__segments, 1, n), '/'), '/'))))")))
-    given = rules.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "verdict").withColumn("__d", F.regexp_extract("__p", r"(?s)^(.*/)?", 0))
-    hits = keys.join(given, ["__h", "__d"]).where(F.expr("startswith(path, __p)"))
-    rank = F.struct(F.when(F.col("__h") == "", 0).otherwise(F.size(F.split("__h", r"\."))), F.length("__p"), (F.col("verdict") == "block").cast("int"))
-    best = hits.groupBy(F.col("__url").alias("__hit")).agg(F.max_by(F.struct(F.concat("__h", "__p").alias("rule"), "verdict"), rank).alias("__best"))
-    judged = parts.join(best, F.col("__url").eqNullSafe(F.col("__hit")), "left").select("__url", "host", "path", "__best.rule", F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    urls = df.select(F.col(url).alias("u")).distinct()
+    parts = urls.withColumn("rest", F.coalesce(F.regexp_extract(F.when(F.instr("u", "://") > 0, F.expr("substring(u, instr(u, '://') + 3)")), r"(?s)^[^?#]*", 0), F.lit("")))
+    host = F.translate(F.substring_index("rest", "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    path = F.when(F.instr("rest", "/") > 0, F.expr("substring(rest, instr(rest, '/'))")).otherwise("")
+    parts = parts.select("u", host.alias("host"), path.alias("path"))
+    keys = parts.withColumn("labels", F.split("host", r"\."))
+    keys = keys.withColumn("h", F.explode(F.expr("concat(array(''), if(host = '', array(), transform(sequence(1, size(labels)), n -> array_join(slice(labels, -n, n), '.'))))")))
+    keys = keys.withColumn("segments", F.split("path", "/")).withColumn("d", F.explode(F.expr("concat(array(''), if(size(segments) < 2, array(), transform(sequence(1, size(segments) - 1), n -> concat(array_join(slice(segments, 1, n), '/'), '/'))))")))
+    given = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict").withColumn("d", F.regexp_extract("p", r"(?s)^(.*/)?", 0))
+    hits = keys.join(given, ["h", "d"]).where(F.expr("startswith(path, p)"))
+    rank = F.struct(F.when(F.col("h") == "", 0).otherwise(F.size(F.split("h", r"\."))), F.length("p"), (F.col("verdict") == "block").cast("int"))
+    best = hits.groupBy(F.col("u").alias("hit")).agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "verdict"), rank).alias("best"))
+    judged = parts.join(best, F.col("u").eqNullSafe(F.col("hit")), "left").select("u", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    name = fresh(df, "url__")
+    judged = judged.withColumnRenamed("u", name)
     base = df.drop("host", "path", "rule", "verdict")
-    return base.join(judged, F.col(url).eqNullSafe(F.col("__url")), "left").drop("__url")
+    return base.join(judged, base[url].eqNullSafe(judged[name]), "left").drop(name)
