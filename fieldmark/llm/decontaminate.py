@@ -6,7 +6,10 @@ hashed, in two streams: templates (all placeholders) and plain (numbers alone),
 Windows that have fewer than LITERALS words of their own are left out of these streams; those that plain leaves out are
 hashed as they are, in an exact stream, so every window of an item is looked for at least word for word.
 
-Documents' windows are sieved by a bitmap of fixed size made from the benchmark's windows, then hash-joined with them.
+Documents' windows are sieved by a bitmap of the benchmark's windows, whose size goes by their number, then hash-joined with
+them. A window that over SHARED items have is joined first for those items alone that such windows could make leaks by
+themselves; of the others' leaks, some rarer window must have matched, and only there the shared windows are looked
+up. So a prompt that many items begin with doesn't pair them all with all documents that hold it, and no match is lost.
 Matches of one document and item that lie on one diagonal (document place less item place) are aligned token by
 token: their slots must be consistent, i.e. one value of the item always stands for one value in the document.
 Of an inconsistent diagonal the windows without a contradicting slot count; a slot contradicts unless its reading is that
@@ -16,7 +19,7 @@ all consistent diagonals together cover half of it: a short item with one of two
 Defined cases: null and blank texts have no window; an item with fewer than WINDOW tokens is one window of its own length,
 items under LEAST_ITEM tokens are in the exact stream alone; in items without letters and digits each character is a
 token, and documents are cut the same way for them; repeated rows and repeated items are found each; null ids take part;
-very long texts are hashed whole; empty tables give nothing; extra columns of documents stay.
+very long texts are hashed whole; empty tables give nothing; extra columns of documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import subwords as sw
-from .common import map_columns, materialize
+from .common import fresh, map_columns, materialize, settle
 
 WINDOW, LITERALS, LEAST_RUN, LEAST_ITEM, COVER = 8, 4, 13, 5, 0.5
-SIEVE_BITS = 24
+#: The sieve has SPARSE bits a window of the benchmark, but at least and at most 2 to the power of these.
+SPARSE, LEAST_SIEVE, MOST_SIEVE = 32, 16, 26
+SHARED = 50
 #: Units of measure that may follow a number.
 UNITS = "g kg mg lb lbs oz m km cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh percent dollar dollars cent cents euro euros pound pounds degree degrees".split()
 #: Words that are numbers.
@@ -178,17 +183,23 @@ def benchmark_windows(items: DataFrame, text: str = "text", key: str = "item_id"
     return map_columns(items, [key], [text], make, schema).select(F.col(key).alias("item"), F.explode("w").alias("w")).select("item", "w.*")
 
 
-def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """key, mark (checksum of the text), item, covered, n_tokens, verbatim (all slots equal): a row for each document and leaked item."""
-    spark = df.sparkSession
-    given = materialize(benchmark_windows(items, item_text, item_key), "items")
-    sieve = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
-    place = F.shiftrightunsigned("h", 64 - SIEVE_BITS)
-    marks = given.groupBy(F.shiftright(place, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(h, {64 - SIEVE_BITS}) & 7 as int))")).alias("bits"))
-    for batch in marks.toLocalIterator():  # at most 2**(SIEVE_BITS - 3) rows
-        sieve[batch.byte] = batch.bits
-    shapes = sorted(tuple(r) for r in given.select("bare", "size").distinct().collect())  # at most 2 * WINDOW
-    shared = spark.sparkContext.broadcast(sieve)
+def sieve_of(windows: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bitmap): the bits of h's first places that some window has. At most 2**MOST_SIEVE bits, 8 MB."""
+    n = windows.count()
+    bits = min(MOST_SIEVE, max(LEAST_SIEVE, (SPARSE * max(n, 1) - 1).bit_length()))
+    place = f"shiftrightunsigned(h, {64 - bits})"
+    marks = windows.groupBy(F.expr(f"cast(shiftright({place}, 3) as int)").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast({place} & 7 as int))")).alias("bits"))
+    found = marks.toArrow()  # at most a row a byte
+    sieve = np.zeros(1 << (bits - 3), np.uint8)
+    sieve[found["byte"].to_numpy()] = found["bits"].to_numpy()
+    return bits, sieve
+
+
+def document_windows(df: DataFrame, windows: DataFrame, text: str, key: str) -> DataFrame:
+    """key, mark, at, size, h, slots of the documents' windows that the sieve of the benchmark's windows lets through."""
+    bits, sieve = sieve_of(windows)
+    shapes = sorted(tuple(r) for r in windows.select("bare", "size").distinct().collect())  # at most 2 * WINDOW
+    shared = df.sparkSession.sparkContext.broadcast(sieve)
 
     def make(texts: list) -> dict[str, list]:
         rows, marked = [], []
@@ -197,7 +208,7 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
             for bare, size in shapes:
                 t = cut[bare]
                 for places, hashes in t.windows(size):
-                    p = hashes >> np.uint64(64 - SIEVE_BITS)
+                    p = hashes >> np.uint64(64 - bits)
                     near = (shared.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     row += [{"at": int(a), "size": size, "h": int(h), "slots": t.slots(int(a), size)} for a, h in zip(places[near], hashes[near].view(np.int64))]
             rows.append(row)
@@ -205,10 +216,41 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
         return {"mark": marked, "w": rows}
 
     schema = "mark long, w array<struct<at:int,size:int,h:long,slots:array<struct<at:int,value:string>>>>"
-    found = map_columns(df.select(F.col(key).alias("key"), F.col(text).alias("__text")), ["key"], ["__text"], make, schema)
-    found = materialize(found.where(F.size("w") > 0).select("key", "mark", F.explode("w").alias("w")).select("key", "mark", "w.*"), "windows")
-    b = given.select("item", "n_tokens", F.col("at").alias("item_at"), "size", "h", F.col("slots").alias("item_slots"))
-    hits = found.join(b, ["h", "size"])
+    found = map_columns(df.select(F.col(key).alias("key"), F.col(text).alias("text")), ["key"], ["text"], make, schema)
+    return found.where(F.size("w") > 0).select("key", "mark", F.explode("w").alias("w")).select("key", "mark", "w.*")
+
+
+def match_windows(found: DataFrame, given: DataFrame, shared: int) -> DataFrame:
+    """found joined with given by (h, size); windows that over shared items have, only where they can matter."""
+    items = given.select("item", "n_tokens", F.col("at").alias("item_at"), "size", "h", F.col("slots").alias("item_slots"))
+    counts = given.groupBy("h", "size").agg(F.count_distinct(F.coalesce(F.col("item").cast("string"), F.lit(""))).alias("n")).where(F.col("n") > shared)
+    popular = materialize(counts.select("h", "size"), "popular")
+    if popular.isEmpty():
+        return found.join(items, ["h", "size"])
+    # Items that their shared windows can make a leak by themselves keep them.
+    common = items.join(popular, ["h", "size"], "left_semi")
+    cover = common.groupBy("item", "n_tokens").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("item_at")).alias("places"))
+    weak = cover.where(~_enough(_covered("places", "size"), _covered("places", "size"))).select(F.col("item").alias("weak"))
+    weak = materialize(weak, "weak")
+    is_weak = common["item"].eqNullSafe(weak["weak"])
+    later = materialize(common.join(weak, is_weak, "left_semi"), "later")
+    rare = items.join(popular, ["h", "size"], "left_anti").unionByName(common.join(weak, is_weak, "left_anti"))
+    first = materialize(found.join(rare, ["h", "size"]), "first")
+    seen = first.select("key", "mark", "item").distinct()
+    again = seen.withColumnRenamed("item", "of").join(later, F.col("of").eqNullSafe(F.col("item"))).drop("of").withColumnsRenamed({"key": "k", "mark": "m"})
+    second = found.join(again.withColumnsRenamed({"h": "h_", "size": "size_"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")) & (F.col("h") == F.col("h_")) & (F.col("size") == F.col("size_")))
+    return first.unionByName(second.select(*first.columns))
+
+
+def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", shared: int = SHARED) -> DataFrame:
+    """key, mark (checksum of the text), item, covered, n_tokens, verbatim (all slots equal): a row for each document and leaked item."""
+    return settle(lambda: _leaks(df, items, text, key, item_text, item_key, shared), "leaks")
+
+
+def _leaks(df: DataFrame, items: DataFrame, text: str, key: str, item_text: str, item_key: str, shared: int) -> DataFrame:
+    given = materialize(benchmark_windows(items, item_text, item_key), "items")
+    found = materialize(document_windows(df, given, text, key), "windows")
+    hits = match_windows(found, given, shared)
     pairs = F.expr("transform(item_slots, s -> struct(s.at as at, s.value as asked, try_element_at(map_from_entries(transform(slots, d -> struct(d.at - (at - item_at) as k, d.value as v))), s.at) as found))")
     hits = hits.select("key", "mark", "item", "n_tokens", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "size", pairs.alias("pairs"))
     by = ["key", "mark", "item", "diagonal"]
@@ -225,8 +267,12 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
     runs = runs.withColumnsRenamed({"key": "k", "mark": "m", "item": "i"})
     both = places.join(runs, places["key"].eqNullSafe(runs["k"]) & (places["mark"] == runs["m"]) & places["item"].eqNullSafe(runs["i"]))
     both = both.withColumn("covered", _covered("places", "size"))
-    leaked = (F.col("run") >= LEAST_RUN) | (_covered("consistent", "size") >= F.col("n_tokens") * COVER)
-    return both.where(leaked).select("key", "mark", "item", "covered", "n_tokens", "verbatim")
+    return both.where(_enough(F.col("run"), _covered("consistent", "size"))).select("key", "mark", "item", "covered", "n_tokens", "verbatim")
+
+
+def _enough(run: F.Column, covered: F.Column) -> F.Column:
+    """Whether so many tokens on one diagonal, or on all consistent ones, make a leak."""
+    return (run >= LEAST_RUN) | (covered >= F.col("n_tokens") * COVER)
 
 
 def _covered(places: str, size: str) -> F.Column:
@@ -236,6 +282,8 @@ def _covered(places: str, size: str) -> F.Column:
 
 def drop_leaked(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df without the documents that hold a leaked item."""
-    bad = materialize(find_leaks(df, items, text, key).select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct(), "leaked")
+    bad = materialize(find_leaks(df, items, text, key).select("key", "mark").distinct(), "leaked")
+    k, m = fresh(df, "key__"), fresh(df, "mark__")
+    bad = bad.select(F.col("key").alias(k), F.col("mark").alias(m))
     mark = F.crc32(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")))
-    return df.join(bad, df[key].eqNullSafe(bad["__key"]) & (mark == bad["__mark"]), "left_anti")
+    return df.join(bad, df[key].eqNullSafe(bad[k]) & (mark == bad[m]), "left_anti")

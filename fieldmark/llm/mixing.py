@@ -14,7 +14,8 @@
 
 Defined cases: a null source is a source of its own, last in order; null or empty texts have size 0, are never taken,
 and stay in the result with 0; a source without words has target 0; an empty table gives none; repeated rows are
-documents of their own; extra columns stay, but for those with the names that are added. Reruns give the same mix.
+documents of their own; texts of any length are counted whole; extra columns stay, but for those with the names that are
+added (size, source_size, target, source_at, start). Reruns give the same mix.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import fresh, materialize, word_count
 from .ordering import running_sum
 
 #: Fixed values of the mix query: weights by the source's place in code point order, repeating.
@@ -41,8 +42,8 @@ class Mix:
 
 
 def source_targets(rows: DataFrame, source: str = "source", size: str = "size", weights: tuple = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT) -> DataFrame:
-    """source, source_at (place in code point order, null last), source_size, target. One row a source."""
-    sums = rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
+    """source, source_at (place in code point order, null last), source_size, target, rows. One row a source."""
+    sums = rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("rows"))
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
     sums = sums.withColumn("source_at", F.row_number().over(order) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_at") % len(weights) + 1).cast("int"))
@@ -55,7 +56,7 @@ def source_targets(rows: DataFrame, source: str = "source", size: str = "size",
     # The water level is that of the first source that it does not fill; those before are full.
     open_ = F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.struct(F.col("limit") / F.col("w"), "source_at", "level"))).over(Window.partitionBy())
     target = F.when(open_.isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), open_["level"] * F.col("w")))
-    return sums.select("source", "source_at", "source_size", target.alias("target"))
+    return sums.select("source", "source_at", "source_size", target.alias("target"), "rows")
 
 
 def _reversed_bits(j: str, m: int) -> F.Column:
@@ -79,7 +80,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     slots = slots.withColumn("__j", F.col("__from") + F.col("__i"))
     slots = slots.select("source_at", "source_size", "__t", "__blocks", "__left", _reversed_bits("__j", m).alias("k"), F.lit(1).cast("long").alias("__one"))
     spread = F.expr(f"k div {max(1, (1 << m) >> 30)}") if m > 30 else F.col("k") * F.lit(1 << (30 - m))
-    slots = running_sum(slots, "source_at", [F.col("k")], spread, "__one", "rank")
+    slots = running_sum(slots, "source_at", [F.col("k")], spread, "__one", "rank", total)
     at = F.expr("rank % __blocks")
     whole = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     last = F.when(F.col("pass") == F.expr("__t div source_size"), F.col("__left") - F.col("block") * block)
@@ -90,14 +91,20 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 def mix_sources(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK, weights: tuple = WEIGHTS, share: float = SHARE, max_repeat: float = MAX_REPEAT, thin: bool = False) -> Mix:
     """The mix of df. thin: texts are read once, to count their words, and the mix's documents are without them."""
     added = {"size", "source_size", "target", "source_at", "start"}
-    rows = df.drop(*(added - {text, source, key})).withColumn("size", word_count(text)).withColumn("__tie", F.xxhash64(F.col(text)))
+    rows = df.drop(*(added - {text, source, key}))
+    tie, of = fresh(rows, "tie__", *added), fresh(rows, "of__", *added)
+    rows = rows.withColumn("size", word_count(text)).withColumn(tie, F.xxhash64(F.col(text)))
     if thin:
         rows = materialize(rows.drop(text), "sizes")
-    targets = materialize(source_targets(rows.select(F.col(source).alias("__s"), "size"), "__s", "size", weights, share, max_repeat), "targets")
-    rows = rows.join(targets.withColumnRenamed("source", "__s"), rows[source].eqNullSafe(F.col("__s"))).drop("__s")
-    spread = F.pmod(F.xxhash64(F.lit("shuffle"), F.col(key)), F.lit(1 << 30))
-    order = [F.xxhash64(F.lit("order"), F.col(key)), F.col(key), F.col("size"), F.col("__tie")]
-    rows = running_sum(rows, "source_at", order, spread, "size", "start").drop("__tie")
+    targets = source_targets(rows.select(F.col(source).alias("source"), "size"), "source", "size", weights, share, max_repeat)
+    targets = materialize(targets, "targets")
+    n = targets.agg(F.sum("rows")).first()[0] or 0
+    targets = targets.drop("rows")
+    rows = rows.join(targets.withColumnRenamed("source", of), rows[source].eqNullSafe(F.col(of))).drop(of)
+    # The text's hash deals out the rows of an id that repeats.
+    spread = F.pmod(F.xxhash64(F.lit("shuffle"), F.col(key), F.col(tie)), F.lit(1 << 30))
+    order = [F.xxhash64(F.lit("order"), F.col(key)), F.col(key), F.col("size"), F.col(tie)]
+    rows = running_sum(rows, "source_at", order, spread, "size", "start", n).drop(tie)
     pieces = rows.where("size > 0").select("source_at", key, "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     slots = schedule(targets, block)
     placed = pieces.join(slots, ["source_at", "block"])
@@ -115,10 +122,11 @@ def taken_words(mix: Mix) -> DataFrame:
 
 def mixed_documents(mix: Mix, text: str, columns: list[str]) -> DataFrame:
     """The mix as rows of documents: a document for each pass that uses it, cut to the words taken where a pass takes a part."""
-    parts = mix.placements.groupBy("source_at", "start", "pass").agg(F.min("doc_word").alias("__first"), F.sum("n_words").alias("__n"))
-    per_doc = parts.groupBy("source_at", "start").agg(F.array_sort(F.collect_list(F.struct("pass", "__first", "__n"))).alias("__parts"))  # at most a few passes
-    docs = mix.documents.where("size > 0").join(per_doc, ["source_at", "start"]).withColumn("__part", F.explode("__parts"))
+    use, part = fresh(mix.documents, "use__"), fresh(mix.documents, "part__")
+    parts = mix.placements.groupBy("source_at", "start", "pass").agg(F.min("doc_word").alias("first"), F.sum("n_words").alias("n"))
+    per_doc = parts.groupBy("source_at", "start").agg(F.array_sort(F.collect_list(F.struct("pass", "first", "n"))).alias(use))  # at most a few passes
+    docs = mix.documents.where("size > 0").join(per_doc, ["source_at", "start"]).withColumn(part, F.explode(use))
     words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-    cut = F.array_join(F.slice(words, F.col("__part.__first").cast("int") + 1, F.col("__part.__n").cast("int")), " ")
-    docs = docs.withColumn(text, F.when(F.col("__part.__n") == F.col("size"), F.col(text)).otherwise(cut))
-    return docs.select(*columns)
+    cut = F.array_join(F.slice(words, F.col(f"{part}.first").cast("int") + 1, F.col(f"{part}.n").cast("int")), " ")
+    taken = F.when(F.col(f"{part}.n") == F.col("size"), F.col(text)).otherwise(cut)
+    return docs.select(*[taken.alias(c) if c == text else F.col(c) for c in columns])

@@ -7,8 +7,12 @@ curve is cut into runs. A shard then covers a compact region, so file statistics
 Law "rows": shard counts differ by one at most. Law "bytes": a cut at equal shares of the summed sizes.
 Ties on the curve are ordered by the text's checksum, then by id, so equal texts of one cell lie together.
 
+Texts are read once for their sizes, checksums and dimensions, which are written; the cells are found from these. If only
+some columns are carried on, and the text is not one of them, nothing else reads the texts.
+
 Defined cases: nulls in a dimension are cell 0; null texts have size 1 and checksum 0; null ids sort first; repeated rows
-take a slot each; an empty table gives none; extra columns stay, but for those with the names that are added.
+take a slot each; an empty table gives none; texts of any length are measured whole; extra columns stay, but for those with
+the names that are added (size, text_crc32, curve, shard, slot).
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .ordering import global_rank
+from .common import fresh, materialize
+from .ordering import global_rank, global_sum
 
 BITS = 5
 DIMENSIONS = ("source", "lang", "size")
@@ -53,24 +57,30 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number_cell(df: DataFrame, name: str, bits: int) -> Column:
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(F.percentile_approx(F.col(name).cast("double"), shares, 10_000)).first()[0] or []
-    cell = F.lit(0)
-    for cut in sorted(set(cuts)):
-        cell = cell + (F.col(name) > F.lit(cut)).cast("int")
-    return F.coalesce(cell, F.lit(0))
-
-
-def _with_string_cell(df: DataFrame, name: str, bits: int, out: str) -> DataFrame:
-    counts = df.groupBy(F.col(name).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.orderBy(F.col("__v").asc_nulls_first())  # one row a value
-    middle = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n") / 2
-    share = middle / F.sum("__n").over(Window.partitionBy())
-    # Written, so that its size is known: a small table of values is broadcast by Spark's own check, and no row moves.
-    cells = counts.select("__v", F.least(F.floor(share * (1 << bits)), F.lit((1 << bits) - 1)).cast("int").alias(out))
-    cells = materialize(cells, "cells")
-    return df.join(cells, df[name].eqNullSafe(cells["__v"]), "left").drop("__v")
+def cell_expressions(rows: DataFrame, dimensions: tuple[str, ...], bits: int) -> list[Column]:
+    """The cell of each dimension as an expression over its column: the number of cuts, at most 2**bits - 1, that a value reaches."""
+    kinds = dict(rows.dtypes)
+    strings = [d for d in dimensions if kinds[d] == "string"]
+    cuts: dict[str, list[tuple]] = {d: [] for d in dimensions}
+    numbers = [d for d in dimensions if d not in strings]
+    if numbers:
+        shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+        found = rows.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 10_000) for d in numbers]).first()
+        for d, values in zip(numbers, found):
+            cuts[d] = [(i + 1, F.col(d) > F.lit(v)) for i, v in enumerate(sorted(set(values or [])))]
+    if strings:
+        # One pass counts the values of all string dimensions; a running sum over (dimension, value) places each of them.
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.col(d).alias("v")) for i, d in enumerate(strings)])).alias("p")
+        counts = rows.select(pairs).groupBy("p.d", "p.v").agg(F.count(F.lit(1)).alias("n"))
+        n = rows.count()
+        placed = global_sum(counts, ["d", "v"], "n", "before", "values")
+        share = (F.col("before") - F.col("d") * F.lit(n) + F.col("n") / 2) / F.lit(max(n, 1))
+        cell = F.least(F.floor(share * (1 << bits)), F.lit((1 << bits) - 1)).cast("int")
+        firsts = placed.where("v is not null").groupBy("d", cell.alias("cell")).agg(F.min("v").alias("v")).collect()  # 2**bits a dimension
+        for r in sorted(firsts, key=lambda r: r.cell):
+            cuts[strings[r.d]].append((r.cell, F.col(strings[r.d]) >= F.lit(r.v)))
+    # Cuts ascend, so the last that holds counts; nulls reach none.
+    return [F.coalesce(*[F.when(reached, F.lit(cell)) for cell, reached in reversed(cuts[d])], F.lit(0)) for d in dimensions]
 
 
 def shard_documents(df: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", dimensions: tuple[str, ...] = DIMENSIONS, law: str = "rows", bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
@@ -78,43 +88,41 @@ def shard_documents(df: DataFrame, shards: int = 16, text: str = "text", key: st
     added = {"size", "text_crc32", "curve", "shard", "slot"}
     raw = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
     rows = df.drop(*(added - {text, key})).withColumn("size", (F.octet_length(raw) + 1).cast("long")).withColumn("text_crc32", F.crc32(raw))
-    kinds = dict(rows.dtypes)
-    cells = []
-    for i, name in enumerate(dimensions):
-        if kinds[name] == "string":
-            rows = _with_string_cell(rows, name, bits, f"__cell{i}")
-        else:
-            rows = rows.withColumn(f"__cell{i}", _number_cell(rows, name, bits))
-        cells.append(f"__cell{i}")
+    if carry is None:
+        facts = materialize(rows.select(*dict.fromkeys(dimensions)), "dimensions")
+    else:
+        rows = facts = materialize(rows.select(*dict.fromkeys((*carry, "size", "text_crc32", *dimensions))), "dimensions")
 
     @F.pandas_udf("long")
     def curve(cell: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index(cell.to_numpy(), bits))
 
-    rows = rows.withColumn("curve", curve(F.struct(*cells))).drop(*cells)
+    rows = rows.withColumn("curve", curve(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cell_expressions(facts, dimensions, bits))])))
     if carry is not None:
         rows = rows.select(*carry, "size", "text_crc32", "curve")
-    ranked = global_rank(rows, ["curve", "text_crc32", key], "__rank", "shards")
+    rank = fresh(rows, "rank__", "shard", "slot")
+    ranked = global_rank(rows, ["curve", "text_crc32", key], rank, "shards")
     if law == "rows":
         n = ranked.count()
-        shard = F.expr(f"cast(least({shards - 1}, __rank * {shards} div {max(n, 1)}) as int)")
+        shard = F.expr(f"cast(least({shards - 1}, {rank} * {shards} div {max(n, 1)}) as int)")
         first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
-        return ranked.withColumn("shard", shard).withColumn("slot", F.col("__rank") - first).drop("__rank")
+        return ranked.withColumn("shard", shard).withColumn("slot", F.col(rank) - first).drop(rank)
     if law != "bytes":
         raise ValueError(f"no such law: {law}")
-    return _cut_by_bytes(ranked, shards)
+    return _cut_by_bytes(ranked, rank, shards)
 
 
-def _cut_by_bytes(ranked: DataFrame, shards: int) -> DataFrame:
+def _cut_by_bytes(ranked: DataFrame, rank: str, shards: int) -> DataFrame:
     """A row goes to the shard in whose share of all bytes its middle byte falls."""
+    lot, start, total, within, first = (fresh(ranked, n) for n in ("lot__", "start__", "total__", "within__", "first__"))
     step = 100_000  # rows of a window; the sums before are joined
-    rows = ranked.withColumn("__lot", F.expr(f"__rank div {step}"))
-    lots = rows.groupBy("__lot").agg(F.sum("size").alias("__sum"))
-    before = Window.orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)  # a row for 100,000
-    lots = lots.select("__lot", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"), F.sum("__sum").over(Window.partitionBy()).alias("__all"))
-    inside = Window.partitionBy("__lot").orderBy("__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("__in", F.sum("size").over(inside)).join(lots, "__lot")
-    middle = F.col("__start") + F.col("__in") - F.col("size") / 2
-    rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / F.col("__all") * shards)).cast("int"))
-    firsts = rows.groupBy("shard").agg(F.min("__rank").alias("__first"))
-    return rows.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("__rank") - F.col("__first")).drop("__rank", "__lot", "__start", "__all", "__in", "__first")
+    rows = ranked.withColumn(lot, F.expr(f"{rank} div {step}"))
+    lots = rows.groupBy(lot).agg(F.sum("size").alias("sum"))
+    before = Window.orderBy(lot).rowsBetween(Window.unboundedPreceding, -1)  # a row for 100,000
+    lots = lots.select(lot, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias(start), F.sum("sum").over(Window.partitionBy()).alias(total))
+    inside = Window.partitionBy(lot).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn(within, F.sum("size").over(inside)).join(lots, lot)
+    middle = F.col(start) + F.col(within) - F.col("size") / 2
+    rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / F.col(total) * shards)).cast("int"))
+    firsts = rows.groupBy("shard").agg(F.min(rank).alias(first))
+    return rows.join(F.broadcast(firsts), "shard").withColumn("slot", F.col(rank) - F.col(first)).drop(rank, lot, start, total, within, first)

@@ -11,11 +11,14 @@ choice changes the work alone: the search is exact whatever the estimates are.
 
 Rows are dealt by key and sorted; runs of one key are verified against the whole fingerprint. A run gives the edges of
 its spanning forest, not all its pairs. A run longer than MOST_RUN goes on to a second round, in which pairs of blocks
-of it are searched by tasks of their own. Components come from alternating large and small stars over tables.
+of it are searched by tasks of their own. Components come from alternating large and small stars over tables, in rounds
+whose number is logarithmic in the number of nodes. A join key that holds over 1/MOST_HOT of all rows (a hub of a star, a
+fingerprint of many copies) is joined by a broadcast of at most MOST_HOT rows, so no task gets all of its rows.
 
 Defined cases: null and empty texts have the fingerprint 0 and link like any other; texts of fewer words than a shingle
 are one shingle; very long texts are hashed in pieces; repeated rows get the same component; an empty table gives none;
-null ids take part, and are never a component's id unless it has no other.
+null ids take part, and are never a component's id unless it has no other; columns of the input with the names that are
+added (fp, root, component) are left out, and drop_near_duplicates() returns the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, release
+from .common import fresh, map_columns, materialize, release, settle
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
+#: Keys with over 1/MOST_HOT of all rows are joined apart, in tables of LEAST_SPLIT rows or more.
+MOST_HOT, LEAST_SPLIT = 500, 5_000_000
 #: Runs over MOST_RUN rows are split into blocks; runs up to SHORT_RUN are compared by offsets.
 MOST_RUN, BLOCK, SHORT_RUN = 20_000, 5_000, 48
 #: Work of a listed row (shuffle, sort, transfer) against that of a verified candidate.
@@ -310,39 +315,53 @@ def find_edges(fps: DataFrame, distance: int = DISTANCE, parts: list[tuple[list[
     return edges.distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def join_split(rows: DataFrame, info: DataFrame, key: str, n: int) -> DataFrame:
+    """rows (n of them) joined with info, a row a key whose column times counts the key's rows.
+
+    Keys with over 1/MOST_HOT of the rows are at most MOST_HOT, so that part of info is broadcast and their rows are not
+    dealt by key. The rows of the result are the same either way.
+    """
+    if n < LEAST_SPLIT:
+        return rows.join(info.drop("times"), key)
+    hot = F.broadcast(info.where(F.col("times") * MOST_HOT > n).drop("times"))
+    cold = info.where(F.col("times") * MOST_HOT <= n).drop("times")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node, root for all nodes with an edge: alternating large and small stars (edges point at the least node near)."""
     now, before = materialize(edges.where("a <> b"), "edges"), None
-    for _ in range(most_rounds):
+    n = now.count()
+    while True:  # until nothing changes; every round but the last lessens some node's neighbour
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("times")).select("u", F.least("u", "m").alias("m"), "times")
+        large = join_split(both.where("v > u"), least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("times"))
+        small = join_split(large, least, "u", n).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         new = materialize(small, "stars")
-        sign = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        sign = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(now)
-        now = new
+        now, n = new, sign.n
         if sign == before:
             break
         before = sign
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def simhash_components(df: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE, extra: dict | None = None) -> DataFrame:
     """key, fp, root (its component's least fingerprint), component (least key of the component), and the columns of extra (name -> expression over df)."""
     extra = extra or {}
-    source = df.select(key, *[c.alias(n) for n, c in extra.items()], F.col(text).alias("__text"))
-    marked = materialize(with_fingerprints(source, "__text", [key, *extra]), "fingerprints")
-    fps = materialize(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    nodes = components(find_edges(fps, distance))
-    linked = materialize(fps.join(nodes, F.col("fp") == F.col("node")).select("fp", "root", "least"), "linked")
+    source = df.select(F.col(key).alias("key"), *[c.alias(n) for n, c in extra.items()], F.col(text).alias("text"))
+    marked = materialize(with_fingerprints(source, "text", ["key", *extra]), "fingerprints")
+    fps = materialize(marked.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("times")), "distinct")
+    nodes = settle(lambda: components(find_edges(fps.select("fp"), distance)), "nodes")
+    linked = fps.join(nodes, F.col("fp") == F.col("node")).select("fp", "root", "least")
     roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    of = linked.join(roots, "root").select("fp", "root", "component")
-    of = fps.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"))
-    return marked.join(of, "fp")
+    of = nodes.select(F.col("node").alias("fp"), "root").join(roots, "root")
+    of = fps.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"), "times")
+    n = fps.agg(F.sum("times")).first()[0] or 0
+    found = join_split(marked, of, "fp", n)
+    return found.select(F.col("key").alias(key), *[c for c in found.columns if c != "key"])
 
 
 def fingerprint_hex(fp: str) -> F.Column:
@@ -351,18 +370,15 @@ def fingerprint_hex(fp: str) -> F.Column:
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """One row of each component stays: that of the least (key, checksum of the text); of equal rows one."""
-    return keep_least(df, simhash_components(df, text, key, distance, {"__mark": F.xxhash64(F.col(text))}), text, key)
+    found = simhash_components(df, text, key, distance, {"mark": F.xxhash64(F.col(text))})
+    return keep_least(df, found.withColumnRenamed(key, "key"), text, key)
 
 
 def keep_least(df: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
-    """The row of df of the least (key, __mark) of each root of found; of equal rows one."""
-    mark = F.xxhash64(F.col(text))
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), F.col("__mark").alias("m"))).alias("x"))
-    by = ["__key", "__none", "__mark"]  # one partitioning serves the join and the choice among equal rows
-    kept = kept.select(*_null_safe("x.k"), F.col("x.m").alias("__mark"))
-    rows = df.select("*", *_null_safe(key), mark.alias("__mark"))
-    return rows.join(materialize(kept, "kept"), by, "left_semi").dropDuplicates(by).select(*df.columns)
-
-
-def _null_safe(key: str) -> list[F.Column]:
-    return [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"), F.col(key).isNull().alias("__none")]
+    """The row of df of the least (key, mark) of each root of found; of equal rows one."""
+    kept = found.groupBy("root").agg(F.min(F.struct("key", "mark")).alias("x"))
+    by = [fresh(df, n) for n in ("key__", "none__", "mark__")]  # one partitioning serves the join and the choice among equal rows
+    named = lambda k, m: [c.alias(n) for c, n in zip((F.coalesce(k.cast("string"), F.lit("")), k.isNull(), m), by)]
+    kept = materialize(kept.select(*named(F.col("x.key"), F.col("x.mark"))), "kept")
+    rows = df.select("*", *named(F.col(key), F.xxhash64(F.col(text))))
+    return rows.join(kept, by, "left_semi").dropDuplicates(by).select(*df.columns)

@@ -7,8 +7,11 @@ probability 1 - (1 - 0.8**4)**20 = 0.99997. Every link is verified by the whole
 with one text of each of its keys; where a key then still holds texts of several components, those of different
 components are compared with each other.
 
-Words are cut and lower-cased as in SimHash. Texts of fewer words than a shingle are one shingle; texts without words are
-alike. Texts are told apart by the XXH64 of the whole text.
+Words are cut and lower-cased as in SimHash. Texts are told apart by the XXH64 of the whole text, so copies are compared once.
+
+Defined cases: texts of fewer words than a shingle are one shingle; null, empty and blank texts are alike; very long texts
+are hashed whole, in pieces; of repeated rows one stays; null ids sort first; an empty table gives none; the input's columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import subwords as sw
-from .common import map_columns, materialize
+from .common import map_columns, materialize, settle
 from .simhash import DISTANCE, SEED, components, find_edges, fingerprint, keep_least, signed
 
 SHINGLE, LEAST = 5, 0.8
@@ -131,6 +134,6 @@ def _unsettled(rows: DataFrame) -> DataFrame:
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """One row of those that similar texts connect stays: that of the least (key, checksum of the text); of equal rows one."""
     mark = F.xxhash64(F.col(text))
-    roots = materialize(link(df.select(mark.alias("mark"), F.col(text).alias("text")), distance), "roots")
-    found = df.select(key, mark.alias("__mark")).join(roots, F.col("__mark") == roots["mark"], "left")
-    return keep_least(df, found.withColumn("root", F.coalesce("root", "__mark")), text, key)
+    roots = settle(lambda: link(df.select(mark.alias("mark"), F.col(text).alias("text")), distance), "roots")
+    found = df.select(F.col(key).alias("key"), mark.alias("mark")).join(roots, "mark", "left")
+    return keep_least(df, found.withColumn("root", F.coalesce("root", "mark")), text, key)
