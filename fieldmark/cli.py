@@ -1,6 +1,6 @@
 """Command line: curate, registry, job, all, data, status, test.
 
-    python -m fieldmark curate build --source DIR --gb 2
+    python -m fieldmark curate build --source DIR|s3a://BUCKET/PREFIX --gb 2 [--pick spread|head]
     python -m fieldmark curate status|preview|compact|drop-batch NAME
     python -m fieldmark registry keys|fetch [--refresh]|build|status|show
     python -m fieldmark job [options]            python -m fieldmark job --report
@@ -15,7 +15,6 @@ import json
 import subprocess
 import sys
 import time
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ from .measure.metrics import readable_bytes, table_text
 from .plans import curate, dimension, job
 from .session import build_session
 from .sinks import ingest
-from .sources import registry, shards, tables
+from .sources import objectstore, registry, shards, storage, tables
 
 #: A table that holds this share of the target is taken as full.
 SLACK = 0.9
@@ -34,13 +33,13 @@ REGISTRY_URL = "https://registry.invalid/v1"  # --url names the real one
 
 def newer(path: str, *than: str) -> bool:
     """Whether path exists and is as new as each of the others that exists."""
-    file = Path(path)
-    return file.exists() and all(file.stat().st_mtime >= Path(p).stat().st_mtime for p in than if Path(p).exists())
+    own = storage.modified(path)
+    return own is not None and all((other := storage.modified(p)) is None or own >= other for p in than)
 
 
 def _manifest(p: config.Paths, snapshot: str | None = None) -> ingest.Manifest:
     if snapshot is None:
-        snapshot = json.loads(Path(p.manifest).read_text())["snapshot"] if Path(p.manifest).exists() else "local"
+        snapshot = json.loads(storage.read_text(p.manifest) or '{"snapshot": "local"}')["snapshot"]
     return ingest.Manifest(p.manifest, p.facts, snapshot)
 
 
@@ -48,20 +47,23 @@ def _manifest(p: config.Paths, snapshot: str | None = None) -> ingest.Manifest:
 
 
 def curate_build(p: config.Paths, a: argparse.Namespace) -> None:
+    spark = build_session(extra=objectstore.settings(a.source, a.region, a.endpoint, a.connector))
     manifest = _manifest(p, a.source)
-    listing = shards.list_local(a.source)
-    keys, size = shards.spread_pick(listing, a.gb, manifest.done())
+    ingest.recover(p.facts, manifest)
+    listing = objectstore.list_shards(a.source, p.listing, a.refresh, a.region, a.endpoint)
+    keys, size = shards.PICKERS[a.pick](listing, a.gb, manifest.done())
     if not keys:
         print("every shard is in the table")
         return
-    entry = ingest.append_batch(build_session(), keys, p.facts, manifest, curate.curate, size, a.codec, a.max_records)
+    print(f"{len(keys)} of {len(listing)} shards, {readable_bytes(size)} of {shards.total_gb(listing):.2f} GB")
+    entry = ingest.append_batch(spark, keys, p.facts, manifest, curate.curate, size, a.codec, a.max_records)
     print(f"{entry['batch']}: {entry['rows']:,} rows of {len(keys)} shards, {readable_bytes(size)}, {entry['seconds']} s")
 
 
 def curate_status(p: config.Paths, a: argparse.Namespace) -> None:
     rows = [{"batch": b["batch"], "shards": len(b["shards"]), "source": readable_bytes(b["source_bytes"]), "rows": b["rows"], "at": b["at"]} for b in _manifest(p).batches]
     print(table_text(rows) if rows else "no batch yet")
-    if Path(p.facts).exists():
+    if storage.exists(p.facts):
         print(table_text(tables.size_histogram(tables.file_sizes(p.facts))))
 
 
@@ -100,13 +102,12 @@ def curate_drop(p: config.Paths, a: argparse.Namespace) -> None:
 
 def registry_keys(p: config.Paths, a: argparse.Namespace) -> None:
     rows = tables.read_merged(build_session(), p.facts).select("datasetkey").distinct().collect()  # a key a dataset
-    Path(p.keys).parent.mkdir(parents=True, exist_ok=True)
-    Path(p.keys).write_text(json.dumps(sorted(r[0] for r in rows if r[0])))
+    storage.write_text(p.keys, json.dumps(sorted(r[0] for r in rows if r[0])))
     print(f"{len(rows)} datasets")
 
 
 def registry_fetch(p: config.Paths, a: argparse.Namespace) -> None:
-    keys = json.loads(Path(p.keys).read_text())
+    keys = json.loads(storage.read_text(p.keys) or "[]")
     found = registry.fetch_missing(keys, p.datasets, "datasetkey", a.url + "/dataset/{key}", registry.slim_dataset, refresh=a.refresh)
     orgs = registry.fetch_missing([r["publisher_key"] for r in found], p.organisations, "publisher_key", a.url + "/organization/{key}", registry.slim_organisation, refresh=a.refresh)
     print(f"{len(found)} datasets, {len(orgs)} organisations")
@@ -136,22 +137,25 @@ def registry_show(p: config.Paths, a: argparse.Namespace) -> None:
 
 
 def job_config(p: config.Paths, a: argparse.Namespace) -> job.Config:
+    told = {
+        "spark.sql.shuffle.partitions": a.shuffle_partitions,
+        "spark.sql.files.maxPartitionBytes": a.max_partition_bytes,
+        "spark.sql.adaptive.enabled": "false" if a.no_aqe else None,
+        "spark.sql.adaptive.skewJoin.enabled": "false" if a.no_skew_join else None,
+        "spark.driver.memory": a.driver_memory,
+    }
     return job.Config(
         table=a.table or p.facts,
         dim=a.dim or p.dimension,
         out=a.out or p.results,
         batches=tuple(x for x in a.batches.split(",") if x),
-        shuffle_partitions=a.shuffle_partitions,
-        max_partition_bytes=a.max_partition_bytes,
         cache="none" if a.no_cache else a.cache,
         join=a.join,
-        aqe=not a.no_aqe,
-        aqe_skew_join=not a.no_skew_join,
         write_in_place=not a.no_write_in_place,
         cache_results=not a.no_cache_results,
         coalesce_output=not a.no_coalesce_output,
-        driver_memory=a.driver_memory,
         tag=a.tag,
+        session={key: value for key, value in told.items() if value is not None},
     )
 
 
@@ -174,12 +178,16 @@ def run_job(p: config.Paths, a: argparse.Namespace) -> None:
 # --- all -------------------------------------------------------------------------------------------------------------
 
 
+def store_options(a: argparse.Namespace) -> list[str]:
+    return [x for name in ("region", "endpoint", "connector") if (value := getattr(a, name)) for x in (f"--{name}", value)]
+
+
 def data_steps(p: config.Paths, a: argparse.Namespace):
     """(title, decide): decide() gives the command to run, or None and the reason why not. It is called just before the step."""
 
     def facts():
         have = sum(b["source_bytes"] for b in _manifest(p).batches) / shards.GIB
-        return (None, f"the table holds {have:.2f} GB") if have >= SLACK * a.gb else (["curate", "build", "--source", a.source, "--gb", f"{a.gb - have:.4f}"], None)
+        return (None, f"the table holds {have:.2f} GB") if have >= SLACK * a.gb else (["curate", "build", "--source", a.source, "--gb", f"{a.gb - have:.4f}", *store_options(a)], None)
 
     def keys():
         return (None, "the key list is newer than the manifest") if not a.force and newer(p.keys, p.manifest) else (["registry", "keys"], None)
@@ -231,7 +239,7 @@ def run_experiment(p: config.Paths, a: argparse.Namespace) -> None:
     else:
         cfg = job.Config(table=p.facts, dim=p.dimension, out=p.results, tag=a.name)
         rows = x.EXPERIMENTS[a.name](job.session_for(cfg), cfg)
-    x.write_report(str(p.home / "reports"), a.name, rows)
+    x.write_report(p.reports, a.name, rows)
     print(table_text(rows))
 
 
@@ -249,11 +257,12 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument(*flags, **kind)
         one.set_defaults(run=run)
 
-    source = [(["--source"], {"required": True}), (["--gb"], {"type": float, "default": 2.0})]
+    source = [(["--source"], {"required": True, "help": "a folder, or s3a://bucket/prefix"}), (["--gb"], {"type": float, "default": 2.0})]
+    source += [([f"--{x}"], {}) for x in ("region", "endpoint")] + [(["--connector"], {"help": "version of the object store connector to fetch"})]
     write = [(["--codec"], {"choices": ingest.CODECS, "default": "snappy"}), (["--max-records"], {"type": int, "default": 2_000_000})]
     url = (["--url"], {"default": REGISTRY_URL})
     c = sub.add_parser("curate").add_subparsers(dest="what", required=True)
-    add(c, "build", curate_build, *source, *write)
+    add(c, "build", curate_build, *source, *write, (["--pick"], {"choices": list(shards.PICKERS), "default": "spread"}), (["--refresh"], {"action": "store_true"}))
     add(c, "status", curate_status)
     add(c, "preview", curate_preview)
     add(c, "compact", curate_compact, *write)
@@ -271,11 +280,11 @@ def parser() -> argparse.ArgumentParser:
         run_job,
         *[([f"--{x}"], {"default": ""}) for x in ("table", "dim", "out", "batches")],
         (["--tag"], {"default": "default"}),
-        (["--shuffle-partitions"], {"type": int, "default": 48}),
-        (["--max-partition-bytes"], {"type": int, "default": 128 << 20}),
+        (["--shuffle-partitions"], {}),
+        (["--max-partition-bytes"], {}),
         (["--cache"], {"choices": list(job.CACHE_LEVELS), "default": "none"}),
         (["--join"], {"choices": ["auto", "broadcast", "sortmerge"], "default": "auto"}),
-        (["--driver-memory"], {"default": "4g"}),
+        (["--driver-memory"], {}),
         *[([f"--{x}"], yes) for x in ("no-aqe", "no-skew-join", "no-write-in-place", "no-cache-results", "no-coalesce-output", "no-cache", "report")],
     )
     for name in ("all", "data"):

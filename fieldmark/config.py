@@ -1,4 +1,4 @@
-"""Where things lie on disk; FIELDMARK_HOME moves all of it."""
+"""Where things lie; FIELDMARK_HOME moves all of it, to another folder or to a store that Spark reads."""
 
 from __future__ import annotations
 
@@ -6,43 +6,31 @@ import os
 from dataclasses import dataclass
 from pathlib import Path
 
+#: What lies where below the home.
+PLACES = {
+    "facts": "facts",
+    "manifest": "manifests/facts.json",
+    "listing": "manifests/listing.json",
+    "keys": "registry/keys.json",
+    "datasets": "registry/datasets.jsonl",
+    "organisations": "registry/organisations.jsonl",
+    "dimension": "dimension",
+    "results": "results",
+    "reports": "reports",
+    "runs": "runs.jsonl",
+}
+
 
 @dataclass(frozen=True)
 class Paths:
-    home: Path
-
-    @property
-    def facts(self) -> str:
-        return str(self.home / "facts")
-
-    @property
-    def manifest(self) -> str:
-        return str(self.home / "manifests" / "facts.json")
-
-    @property
-    def keys(self) -> str:
-        return str(self.home / "registry" / "keys.json")
-
-    @property
-    def datasets(self) -> str:
-        return str(self.home / "registry" / "datasets.jsonl")
-
-    @property
-    def organisations(self) -> str:
-        return str(self.home / "registry" / "organisations.jsonl")
-
-    @property
-    def dimension(self) -> str:
-        return str(self.home / "dimension")
-
-    @property
-    def results(self) -> str:
-        return str(self.home / "results")
+    home: str
 
-    @property
-    def runs(self) -> str:
-        return str(self.home / "runs.jsonl")
+    def __getattr__(self, name: str) -> str:
+        if name not in PLACES:
+            raise AttributeError(name)
+        return f"{self.home}/{PLACES[name]}"
 
 
 def default_paths() -> Paths:
-    return Paths(Path(os.environ.get("FIELDMARK_HOME", "data")).resolve())
+    home = os.environ.get("FIELDMARK_HOME", "data")
+    return Paths(home.rstrip("/") if "://" in home else str(Path(home).resolve()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import urllib.error
 import urllib.request
 from contextlib import contextmanager
 from statistics import median
@@ -66,6 +67,21 @@ class Rest:
     def stages(self, after: int = -1) -> list[dict]:
         return [s for s in self.json("stages") if int(s["stageId"]) > after and s["status"] == "COMPLETE"]
 
+    #: The shares of a stage's tasks at which quantiles are told.
+    QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+    def quantiles(self, stage: int, attempt: int = 0) -> dict[str, list[float]]:
+        """Duration and run time in ms, bytes read, shuffled and spilled of a stage's tasks at QUANTILES; empty if unknown."""
+        try:
+            told = self.json(f"stages/{stage}/{attempt}/taskSummary?quantiles={','.join(map(str, self.QUANTILES))}")
+        except urllib.error.HTTPError:  # a stage that has no finished task has no summary
+            return {}
+        if not told:
+            return {}
+        inside = {"read_bytes": ("inputMetrics", "bytesRead"), "shuffle_read_bytes": ("shuffleReadMetrics", "readBytes"), "shuffle_bytes": ("shuffleWriteMetrics", "writeBytes")}
+        plain = {"duration_ms": "duration", "run_ms": "executorRunTime", "gc_ms": "jvmGcTime", "spill_bytes": "diskBytesSpilled"}
+        return {k: told[v] for k, v in plain.items()} | {k: told[a][b] for k, (a, b) in inside.items()}
+
     def task_spread(self, stage: int, attempt: int = 0) -> dict:
         """Median and longest task of a stage in ms, and their ratio."""
         times = [t["duration"] for t in self.json(f"stages/{stage}/{attempt}/taskList?length=100000") if "duration" in t]

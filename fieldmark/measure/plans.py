@@ -35,6 +35,13 @@ def scan_stats(df: DataFrame) -> dict[str, list[str]]:
     return {"partition_filters": grab("PartitionFilters", r"\], "), "pushed_filters": grab("PushedFilters", r"\], "), "read_schema": grab("ReadSchema", r"\n|$")}
 
 
+def columns_scanned(df: DataFrame) -> set[str]:
+    """The columns that the plan's scans give, after pruning."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    outputs = [leaves.apply(i).output() for i in range(leaves.size())]
+    return {out.apply(k).name() for out in outputs for k in range(out.size())}
+
+
 def partition_count(df: DataFrame) -> int:
     return df.rdd.getNumPartitions()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,14 @@ def breakdown(e: DataFrame, *keys: str) -> DataFrame:
     return e.groupBy(*keys).agg(*standard_measures())
 
 
-def breakdowns(e: DataFrame, sets: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """Several breakdowns from one scan and one shuffle: grouping sets, told apart by grouping_id (real nulls stay apart)."""
+def breakdowns(e: DataFrame, sets: dict[str, list[str]], hold: Callable[[DataFrame], DataFrame] = lambda wide: wide) -> dict[str, DataFrame]:
+    """Several breakdowns from one scan and one shuffle: grouping sets, told apart by grouping_id (real nulls stay apart).
+
+    All of them filter one aggregate. Whoever writes them one by one passes a hold that persists it (a row a group),
+    or the scan is done again for each.
+    """
     keys = list(dict.fromkeys(k for s in sets.values() for k in s))
-    wide = e.groupingSets([[F.col(k) for k in s] for s in sets.values()], *keys).agg(F.grouping_id().alias("__set"), *standard_measures())
+    wide = hold(e.groupingSets([[F.col(k) for k in s] for s in sets.values()], *keys).agg(F.grouping_id().alias("__set"), *standard_measures()))
     bit = {k: 1 << (len(keys) - 1 - i) for i, k in enumerate(keys)}
     full = sum(bit.values())
     return {name: wide.where(F.col("__set") == full - sum(bit[k] for k in s)).select(*s, "records", "usable", "mean_flags") for name, s in sets.items()}
@@ -75,14 +81,19 @@ def rank_in_group(df: DataFrame, group: str, tie: str) -> DataFrame:
 def variance_decomposition(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
     """Within and between variance of value over groups of at least so many rows, and between's share: one row.
 
-    Uses group moments, so the only shuffle is of a row a group: within = mean of x^2 less size-weighted mean^2.
+    The only shuffle is of a row a group. Between is the mean square of the groups' distances from the grand mean, so
+    it keeps its digits however far the values are from zero.
     """
-    groups = df.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where(F.col("n") >= least)
-    total, mean = F.sum("n"), F.sum("s") / F.sum("n")
-    parts = groups.agg(total.alias("datasets"), mean.alias("grand_mean"), (F.sum(F.col("n") * F.col("v")) / total).alias("within"), (F.sum(F.col("n") * F.col("m") * F.col("m")) / total).alias("square"))
-    parts = parts.withColumn("between", F.greatest(F.lit(0.0), F.col("square") - F.col("grand_mean") * F.col("grand_mean")))
-    safe = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("grand_mean", "within", "between")}
-    parts = parts.select(safe["between"].alias("between"), F.coalesce("datasets", F.lit(0)).cast("long").alias("datasets"), safe["grand_mean"].alias("grand_mean"), safe["within"].alias("within"))
+    groups = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where(F.col("n") >= least)
+    grand = groups.agg(F.sum("n").alias("datasets"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand_mean"))
+    away = F.col("m") - F.col("grand_mean")
+    known = lambda c: F.coalesce(c, F.lit(0.0))
+    parts = groups.join(F.broadcast(grand)).agg(  # one row
+        known(F.sum(F.col("n") * away * away) / F.sum("n")).alias("between"),
+        F.coalesce(F.max("datasets"), F.lit(0)).cast("long").alias("datasets"),
+        known(F.max("grand_mean")).alias("grand_mean"),
+        known(F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("within"),
+    )
     return parts.withColumn("between_share", F.col("between") / F.greatest(F.col("between") + F.col("within"), F.lit(1e-12)))
 
 
@@ -124,7 +135,7 @@ def skew_report(df: DataFrame, key: str, k: int = 10) -> DataFrame:
 def hash_placement(df: DataFrame, key: str, n: int) -> DataFrame:
     """Where a hash exchange into n partitions puts the rows: rows, keys and the largest key of each."""
     counts = df.groupBy(key).agg(records())
-    return counts.groupBy(F.pmod(F.hash(key), F.lit(n)).alias("partition")).agg(F.sum("records").alias("rows"), F.count(F.lit(1)).alias("keys"), F.max_by(key, "records").alias("largest"))
+    return counts.groupBy(F.pmod(F.hash(key), F.lit(n)).alias("partition")).agg(F.sum("records").alias("rows"), F.count(F.lit(1)).alias("keys"), F.max_by(key, F.struct("records", key)).alias("largest"))
 
 
 def rows_per_partition(df: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ import sys
 import time
 from collections.abc import Callable
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 from ..measure import plans as P
 from ..measure.metrics import Rest, bottleneck, break_even, measure
 from ..operators import aggregates, joins, windows
-from ..sinks.ingest import write_layout
+from ..sinks.ingest import LAYOUTS, write_layout
+from ..sources import storage
 from ..sources.tables import file_sizes, read_table, size_histogram
 from . import job
 
@@ -63,12 +63,13 @@ def input_packing(spark: SparkSession, cfg: job.Config) -> list[dict]:
 
 
 def pruning(spark: SparkSession, cfg: job.Config) -> list[dict]:
-    """All columns, two columns, a partition filter, a row group filter."""
+    """All columns, two columns, filters on one and two partition columns, a row group filter."""
     table = read_table(spark, cfg.table, cfg.batches)
     variants = {
         "all columns": lambda: aggregates.checksum(table),
         "two columns": lambda: aggregates.checksum(table, ["gbifid", "country"]),
         "partition filter": lambda: aggregates.checksum(table.where("decade >= 2000")),
+        "two partition filters": lambda: aggregates.checksum(table.where("ingest_batch = 'b0000' and decade = 2000")),
         "row group filter": lambda: aggregates.checksum(table.where("country = 'SE'"), ["gbifid"]),
     }
     return compare(spark, {k: ({}, v) for k, v in variants.items()})
@@ -76,13 +77,13 @@ def pruning(spark: SparkSession, cfg: job.Config) -> list[dict]:
 
 def shuffle_partitions(spark: SparkSession, cfg: job.Config) -> list[dict]:
     build = lambda: read_table(spark, cfg.table, cfg.batches).groupBy("datasetkey", "decade").count()
-    return compare(spark, {f"{n}, aqe {aqe}": ({"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.enabled": aqe}, build) for n in (12, 48, 200, 800) for aqe in ("true", "false")})
+    return compare(spark, {f"{n}, aqe {aqe}": ({"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.enabled": aqe}, build) for n in (4, 12, 24, 48, 200, 800) for aqe in ("true", "false")})
 
 
 def layouts(spark: SparkSession, cfg: job.Config) -> list[dict]:
     """Files, bytes and read time of each way to write the table."""
     rows, facts = [], read_table(spark, cfg.table, cfg.batches)
-    for layout in ("as_is", "coalesce", "round_robin", "partition_by", "repartition_partition_by"):
+    for layout in LAYOUTS:
         path = f"{cfg.out}/layouts/{layout}"
         with measure(spark, layout) as wrote:
             write_layout(facts, path, layout)
@@ -145,9 +146,7 @@ EXPERIMENTS = {f.__name__: f for f in (input_packing, pruning, shuffle_partition
 
 
 def write_report(path: str, name: str, rows: list[dict]) -> None:
-    file = Path(path) / f"{name}.json"
-    file.parent.mkdir(parents=True, exist_ok=True)
-    file.write_text(json.dumps({"experiment": name, "rows": rows}, indent=1, default=str))
+    storage.write_text(f"{path}/{name}.json", json.dumps({"experiment": name, "rows": rows}, indent=1, default=str))
 
 
 # --- Before and after ------------------------------------------------------------------------------------------------

@@ -8,7 +8,8 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
-from pathlib import Path
+
+from . import storage
 
 TRIES, THREADS = 4, 12
 
@@ -68,17 +69,12 @@ def slim_organisation(key: str, answer: dict | None) -> dict:
 
 
 def read_jsonl(path: str) -> list[dict]:
-    file = Path(path)
-    return [json.loads(x) for x in file.read_text().splitlines() if x.strip()] if file.exists() else []
+    return [json.loads(x) for x in (storage.read_text(path) or "").split("\n") if x.strip()]
 
 
 def write_jsonl(path: str, rows: Iterable[dict]) -> None:
     """Replaces the file in one step."""
-    file = Path(path)
-    file.parent.mkdir(parents=True, exist_ok=True)
-    part = file.with_suffix(file.suffix + ".part")
-    part.write_text("".join(json.dumps(r) + "\n" for r in rows))
-    part.replace(file)
+    storage.write_text(path, "".join(json.dumps(r) + "\n" for r in rows))
 
 
 def fetch_missing(keys: Iterable[str], cache: str, key_field: str, url: str, slim: Callable[[str, dict | None], dict], get: Callable[[str], bytes] = http_get, refresh: bool = False, pause: Callable[[float], None] = time.sleep) -> list[dict]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import storage
+
 
 class MissingBatch(SystemExit):
     """A batch that was asked for is not in the table."""
@@ -36,7 +36,7 @@ def subset_schema(schema: T.StructType, columns: list[str]) -> T.StructType:
 
 
 def batch_names(root: str) -> list[str]:
-    return sorted(p.name.split("=", 1)[1] for p in Path(root).glob("ingest_batch=*") if p.is_dir())
+    return [name.partition("=")[2] for name in storage.folders(root, "ingest_batch=")]
 
 
 def read_table(spark: SparkSession, root: str, batches: list[str] | tuple[str, ...] | None = None) -> DataFrame:
@@ -68,13 +68,14 @@ def as_strings(df: DataFrame) -> DataFrame:
 # --- Sizes on disk -------------------------------------------------------------------------------------------------
 
 
-def files_of(root: str, batches: list[str] | tuple[str, ...] | None = None) -> list[Path]:
-    roots = [Path(root, f"ingest_batch={b}") for b in batches] if batches else [Path(root)]
-    return sorted(f for r in roots for f in ([r] if r.is_file() else r.rglob("*.parquet")))
+def files_of(root: str, batches: list[str] | tuple[str, ...] | None = None) -> list[tuple[str, int]]:
+    """(path, bytes) of the table's files, or of some batches'."""
+    roots = [f"{root}/ingest_batch={b}" for b in batches] if batches else [root]
+    return sorted(f for r in roots for f in storage.files(r, ".parquet"))
 
 
 def file_sizes(root: str, batches=None) -> list[int]:
-    return sorted(f.stat().st_size for f in files_of(root, batches))
+    return sorted(size for _, size in files_of(root, batches))
 
 
 def table_bytes(root: str, batches=None) -> int:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sinks.ingest import by_decade
+
 
 def ingest_available(spark: SparkSession, source: str, schema: T.StructType, root: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], max_bytes: str | None = None, max_files: int | None = None) -> int:
     """Take all files that are there and not yet taken, in micro-batches of the given budget; the number of batches.
@@ -23,7 +25,7 @@ def ingest_available(spark: SparkSession, source: str, schema: T.StructType, roo
 
     def write(batch: DataFrame, number: int) -> None:
         rows = transform(batch).withColumn("ingest_batch", F.lit(f"s{number:06d}"))
-        placed = rows.repartition("decade") if "decade" in rows.columns else rows
+        placed = by_decade(rows) if "decade" in rows.columns else rows
         keys = [c for c in ("ingest_batch", "decade") if c in rows.columns]
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(root)
         done.append(number)

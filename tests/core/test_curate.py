@@ -30,17 +30,18 @@ def row(i, **changes):
     return tuple(base[f.name] for f in SCHEMA)
 
 
+#: Each row is at a boundary of one rule, on one side of it or the other.
 ROWS = [
-    row(1, issue=["CONTINENT_DERIVED_FROM_COORDINATES"]),
-    row(2, decimallatitude=0.0, decimallongitude=0.0, issue=["ZERO_COORDINATE", "COUNTRY_COORDINATE_MISMATCH"]),
-    row(3, species=None, countrycode=" ", year=None, coordinateuncertaintyinmeters=None, issue=None, decimallatitude=10.9, decimallongitude=-69.1),
-    row(4, occurrencestatus="ABSENT", year=12, coordinateuncertaintyinmeters=500_000.0),
-    row(5, decimallatitude=91.0, coordinateuncertaintyinmeters=-1.0, year=1953, issue=["COORDINATE_OUT_OF_RANGE"]),
-    row(6, occurrencestatus=None),
-    row(7, decimallatitude=None, decimallongitude=None),
-    row(8, issue=["B_FLAG", None, "A_FLAG"]),
-    row(9, decimallatitude=-0.5, decimallongitude=-0.5),
-    row(10, decimallongitude=181.0, species="  "),
+    row(1, decimallatitude=89.99, year=1600, coordinateuncertaintyinmeters=10_000.0, issue=["CONTINENT_DERIVED_FROM_COORDINATES"]),
+    row(2, decimallatitude=90.01, year=1599, coordinateuncertaintyinmeters=10_000.01),
+    row(3, decimallatitude=90.0, decimallongitude=-180.0, coordinateuncertaintyinmeters=0.0, year=1999),
+    row(4, decimallongitude=180.01, coordinateuncertaintyinmeters=20_000_000.0, year=2000, species=" "),
+    row(5, decimallatitude=0.0, decimallongitude=0.0, coordinateuncertaintyinmeters=20_000_000.5, issue=["ZERO_COORDINATE", "PRESUMED_SWAPPED_COORDINATE", "AMBIGUOUS_NAME"]),
+    row(6, occurrencestatus=None, species=None, countrycode="\t", year=None, coordinateuncertaintyinmeters=None, issue=None),
+    row(7, decimallatitude=None, decimallongitude=None, occurrencestatus=" present "),
+    row(8, decimallatitude=0.0, decimallongitude=0.001, issue=["B_FLAG", None, "A_FLAG"]),
+    row(9, decimallatitude=-0.5, decimallongitude=-89.0, occurrencestatus="absent"),
+    row(10, decimallatitude=None, coordinateuncertaintyinmeters=-0.01, year=-5),
 ]
 
 
@@ -50,35 +51,40 @@ def rows(spark):
 
 
 def test_issues(rows):
-    assert rows[1].issues == ["CONTINENT_DERIVED_FROM_COORDINATES"] and rows[1].n_geo_issues == 0
-    assert rows[2].issues == ["COUNTRY_COORDINATE_MISMATCH", "ZERO_COORDINATE"] and rows[2].n_geo_issues == 2 and rows[2].has_geo_issue
-    assert rows[3].issues == [] and rows[3].n_issues == 0
+    assert rows[1].issues == ["CONTINENT_DERIVED_FROM_COORDINATES"] and rows[1].n_geo_issues == 0 and rows[1].has_geo_issue is False
+    assert rows[5].issues == ["AMBIGUOUS_NAME", "PRESUMED_SWAPPED_COORDINATE", "ZERO_COORDINATE"] and (rows[5].n_issues, rows[5].n_geo_issues) == (3, 2) and rows[5].has_geo_issue
+    assert rows[6].issues == [] and rows[6].n_issues == 0
     assert rows[8].issues == ["A_FLAG", "B_FLAG", None] and rows[8].n_issues == 3
 
 
 def test_categories(rows):
-    assert (rows[1].basis, rows[1].country, rows[3].country) == ("HUMAN_OBSERVATION", "SE", None)
+    assert (rows[1].basis, rows[1].country, rows[6].country) == ("HUMAN_OBSERVATION", "SE", "\t")  # spaces alone are trimmed
     assert (rows[1].taxon_class, rows[1].taxon_order, rows[1].taxon_rank) == ("Mammalia", "Carnivora", "SPECIES")
-    assert rows[4].is_present is False and rows[6].is_present is None
+    assert [rows[i].is_present for i in (1, 6, 7, 9)] == [True, None, True, False]
+    assert [rows[i].has_species for i in (1, 4, 6)] == [True, False, False]
 
 
 def test_time(rows):
-    assert [rows[i].decade for i in (1, 5, 3, 4)] == [2010, 1950, 0, 0]
-    assert rows[4].year_known is False and rows[3].year_known is False
+    assert [rows[i].decade for i in (1, 2, 3, 4, 6, 10)] == [1600, 0, 1990, 2000, 0, 0]
+    assert [rows[i].year_known for i in (1, 2, 6, 10)] == [True, False, False, False]
     assert (rows[1].interpreted_month, rows[1].interpreted_year) == ("2025-03", 2025)
 
 
 def test_space(rows):
-    assert [rows[i].coord_valid for i in (1, 2, 5, 7, 10)] == [True, False, False, False, False]
-    assert rows[2].null_island and rows[5].has_coords and not rows[7].has_coords
-    assert (rows[3].cell_lat, rows[3].cell_lon) == (10, -70) and rows[9].cell_id == "-1_-1"
-    assert rows[1].cell_id == "59_18" and rows[5].cell_id is None
-    assert rows[5].uncertainty_m is None and rows[3].uncertainty_known is False
-    assert rows[3].uncertainty_ok and not rows[4].uncertainty_ok
+    assert [rows[i].coord_valid for i in (1, 2, 3, 4, 5, 7, 8, 9, 10)] == [True, False, True, False, False, False, True, True, False]
+    assert rows[5].null_island and not rows[8].null_island and [rows[i].has_coords for i in (2, 5, 7, 10)] == [True, True, False, False]
+    assert (rows[9].cell_lat, rows[9].cell_lon, rows[9].cell_id) == (-1, -89, "-1_-89") and rows[8].cell_id == "0_0" and rows[3].cell_id == "90_-180"
+    assert [rows[i].cell_id for i in (2, 4, 5, 7)] == [None] * 4
+
+
+def test_uncertainty(rows):
+    assert [rows[i].uncertainty_m for i in (1, 3, 4, 5, 6, 10)] == [10_000.0, 0.0, 20_000_000.0, None, None, None]
+    assert [rows[i].uncertainty_known for i in (3, 5, 6, 10)] == [True, False, False, False]
+    assert [rows[i].uncertainty_ok for i in (1, 2, 3, 4, 5, 6, 10)] == [True, False, True, False, True, True, True]
 
 
 def test_gate(rows):
-    assert {i for i, r in rows.items() if r.usable_for_mapping} == {1, 8, 9}
+    assert {i for i, r in rows.items() if r.usable_for_mapping} == {1, 3, 8}
 
 
 def test_invariants(rows):
