@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import decontaminate, mixing, shards, similar, toxicity
-from fieldmark.llm.common import id_mod, materialize, table
+from fieldmark.llm.common import id_mod, release, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and slot on the Hilbert curve."""
-    placed = shards.shard_documents(docs, 16)
-    return placed.select(*docs.columns, "size", "shard", "slot")
+    placed, added = shards.shard_documents(docs, 16), ("size", "shard", "slot")
+    return placed.select(*[c for c in docs.columns if c not in (*added, "curve", "text_crc32")], *added)
 
 
 STAGES = [
@@ -56,6 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        release(before)
     name, last = STAGES[-1]
     return last(spark, docs, sf_dir)
