@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,29 +63,32 @@ class Model:
                 rows[k][at[lang]] = min(PENALTY, -math.log10(n / total[lang]))
         self.rows = np.array(rows)
 
+    def _backoff(self, word: str) -> list[int]:
+        """The rows of the longest n-grams of the word that are known; row 0, which lacks it in all languages, if none is."""
+        for n in range(self.most, 0, -1):
+            known = self.grams[n]
+            if some := [known[g] for g in grams_of(word, n) if g in known]:
+                return some
+        return [0]
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
+        bag = Counter(words_of(text or ""))
+        if not self.langs or not any(c.isalpha() for w in bag for c in w):
             return UNKNOWN, 0.0
-        get = self.index.get
-        ids = [get(w, -1) for w in words]
-        flat, share = [], []
-        for w, k in zip(words, ids):
-            if k < 0:
-                for n in range(self.most, 0, -1):
-                    known = self.grams[n]
-                    if got := [known[g] for g in grams_of(w, n) if g in known]:
-                        flat += got
-                        share += [1 / len(got)] * len(got)
-                        break
-                else:
-                    flat.append(0)
-                    share.append(1.0)
-        total = self.rows[[k for k in ids if k >= 0]].sum(axis=0)
-        if flat:
+        times = np.fromiter(bag.values(), np.float64, len(bag))
+        ids = np.fromiter(map(self.index.get, bag, repeat(-1)), np.int64, len(bag))
+        seen = ids >= 0
+        total = times[seen] @ self.rows[ids[seen]]
+        if not seen.all():
+            unseen = np.flatnonzero(~seen).tolist()
+            words, flat, share = list(bag), [], []
+            for i in unseen:
+                got = self._backoff(words[i])
+                flat += got
+                share += [times[i] / len(got)] * len(got)
             total = total + np.array(share) @ self.rows[flat]
         best = int(np.argmin(total))
-        odds = np.exp((total[best] - total) * math.log(10) / math.sqrt(len(words)))
+        odds = np.exp((total[best] - total) * math.log(10) / math.sqrt(times.sum()))
         return self.langs[best], float(odds[best] / odds.sum())
 
 
