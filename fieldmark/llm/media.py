@@ -335,6 +335,8 @@ def hits(data: bytes) -> list[tuple[int, str, int]]:
         if offset < upto:
             continue
         if got := max((x for _, k in group if (x := SIGNATURES[k][2](walks, offset))), key=lambda x: x[1], default=None):
+            if offset and offset + got[1] == len(data) and kept and kept[0] == (0, got[0], len(data)):
+                continue  # the rest of the whole from one of its records on, as from an archive's second file
             kept.append((offset, *got))
             if (offset, got[1]) != (0, len(data)):
                 upto = offset + got[1]
