@@ -119,6 +119,6 @@ select conv_id, count(*)::bigint as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(len(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       sum(len(body) + case when before = role then 11 else 13 + len(role) end + case when after = role then 0 else 11 end)::bigint as formatted_chars
+       sum(len(body) + case when before = role then 10 else 13 + len(role) end + case when after = role then 0 else 11 end)::bigint as formatted_chars
 from near group by conv_id""",
 }
