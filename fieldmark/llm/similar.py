@@ -3,9 +3,11 @@
 Two texts are near-duplicates if the Jaccard similarity of their sets of SHINGLE-word shingles is LEAST or more. Texts are
 compared if they share a key: a SimHash fingerprint, an edge of the search within its distance, or one of BANDS MinHash
 keys of ROWS minima each. Few pairs at 0.8 are within SimHash's distance, but such a pair shares a MinHash key with
-probability 1 - (1 - 0.8**4)**20 = 0.99997. Every link is verified by the whole shingle sets. First each text is compared
-with one text of each of its keys; where a key then still holds texts of several components, those of different
-components are compared with each other.
+probability 1 - (1 - 0.8**4)**20 = 0.99997. Every link is verified by the whole shingle sets. First each key's texts are compared
+with one of them, the one that meets most texts in all of its keys, which in a group of copies is the one they come
+from. Where a key then still holds texts of several components, all those of different components are compared: a key's texts
+are cut into blocks of bounded bytes, every two blocks meet in a task, which counts common shingles by products of
+0/1 matrices and gives the edges of a forest, not pairs.
 
 Words are cut and lower-cased as in SimHash. Texts are told apart by the XXH64 of the whole text, so copies are compared once.
 
@@ -16,19 +18,22 @@ stay as they are, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import subwords as sw
-from .common import map_columns, materialize, settle
+from .common import bound_batches, map_columns, materialize, settle
 from .simhash import DISTANCE, SEED, components, find_edges, fingerprint, keep_least, signed
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 4
-#: Rounds in which a key's texts are compared with one of them.
-ROUNDS = 2
+#: Bytes of shingles in a block, those that a text counts for at least, and columns of a matrix.
+BLOCK, LEAST_TEXT, WIDE = 16 << 20, 32 << 10, 8192
 _PIECE = 1 << 13
 _STEP = np.uint64(0xD1342543DE82EF95)
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,12 +75,14 @@ def is_similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= LEAST * (len(a) + len(b) - both) - 1e-9
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of marks whose texts (mark, text) are similar."""
-    some = materialize(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "marks")
-    found = texts.join(some, "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
-    sets = map_columns(found, ["mark"], ["text"], lambda t: {"s": [shingles(x).tobytes() for x in t]}, "s binary")
-    sets = materialize(sets, "sets")
+def shingle_sets(marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """mark, s: the shingles of the texts (mark, text) that are among marks, as bytes."""
+    found = texts.join(marks.select("mark").distinct(), "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text"))
+    return materialize(map_columns(found, ["mark"], ["text"], lambda t: {"s": [shingles(x).tobytes() for x in t]}, "s binary"), "sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of marks whose shingle sets are similar."""
     both = pairs.join(sets.select(F.col("mark").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("mark").alias("b"), F.col("s").alias("y")), "b")
 
     def make(xs: list, ys: list) -> dict[str, list]:
@@ -84,6 +91,93 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(map_columns(both, ["a", "b"], ["x", "y"], make, "similar boolean").where("similar").select("a", "b"), "similar")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets have in common."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    both = np.zeros((n, n))
+    if not len(owner):
+        return both
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    few = (times[column] > 1) & (times[column] <= 16)
+    o, c = owner[few], column[few]
+    for step in range(1, 16):  # the pairs of a shingle that few have
+        same = np.flatnonzero(c[step:] == c[:-step])
+        both += np.bincount(o[same] * n + o[same + step], minlength=n * n).reshape(n, n)
+    both += both.T
+    many = times[column] > 16
+    o, c = owner[many], np.unique(column[many], return_inverse=True)[1]
+    for begin in range(0, int(c[-1]) + 1 if len(c) else 0, WIDE):
+        lo, hi = np.searchsorted(c, (begin, begin + WIDE))
+        matrix = np.zeros((n, WIDE), np.float32)
+        matrix[o[lo:hi], c[lo:hi] - begin] = 1
+        both += matrix @ matrix.T
+    both[np.arange(n), np.arange(n)] = [len(x) for x in sets]
+    return both
+
+
+def forest(sets: list[np.ndarray], roots: list[int]) -> list[tuple[int, int]]:
+    """Edges that connect what similar sets of different roots connect; those that a root or an edge before has are left out."""
+    both, size = common_counts(sets), np.array([len(x) for x in sets], float)
+    near = both >= LEAST * (size[:, None] + size[None, :] - both) - 1e-9
+    root = np.array(roots)
+    near &= root[:, None] != root[None, :]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    edges = []
+    for i, j in zip(*np.nonzero(np.triu(near))):
+        a, b = top(roots[i]), top(roots[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            edges.append((int(i), int(j)))
+    return edges
+
+
+def link_blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: edges that connect the texts of each key (key, mark, root) that similar texts of different roots connect."""
+    sized = left.join(sets.select("mark", F.length("s").alias("n")), "mark")
+    order = Window.partitionBy("key").orderBy("root", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.greatest("n", F.lit(LEAST_TEXT)).cast("long")).over(order), F.lit(0).cast("long"))
+    placed = sized.select("key", "mark", "root", before.alias("before"))
+    placed = materialize(placed.selectExpr("key", "mark", "root", f"before div {BLOCK} as block"), "placed")
+    blocks = placed.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    other = blocks.selectExpr("key", "block as j", "lo as lo_j", "hi as hi_j")
+    # Blocks of one and the same component have nothing to tell each other.
+    meet = blocks.withColumnRenamed("block", "i").join(other, "key").where("i <= j and not (lo = hi and lo_j = hi_j and lo = lo_j)")
+    meet = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = placed.join(meet, ["key", "block"]).join(sets, "mark").select("key", "i", "j", "mark", "root", "s")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, marks, roots, found = None, [], [], []
+
+        def edges() -> pa.RecordBatch:
+            some = forest(found, roots)
+            return pa.RecordBatch.from_pydict({"a": pa.array([marks[i] for i, _ in some], pa.int64()), "b": pa.array([marks[j] for _, j in some], pa.int64())})
+
+        for batch in batches:
+            for *place, mark, root, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != held:
+                    if len(marks) > 1:
+                        yield edges()
+                    held, marks, roots, found = place, [], [], []
+                marks.append(mark)
+                roots.append(root)
+                found.append(np.frombuffer(s, np.uint64))
+        if len(marks) > 1:
+            yield edges()
+
+    bound_batches(left.sparkSession)
+    by = ["key", "i", "j"]
+    return materialize(rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct(), "near")
+
+
 def propose(texts: DataFrame, distance: int) -> DataFrame:
     """mark, key: texts that share a key are to be compared. texts: mark, text."""
 
@@ -101,24 +195,15 @@ def propose(texts: DataFrame, distance: int) -> DataFrame:
 def link(texts: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """mark, root: the marks that similar texts connect, and the least of those connected. texts: mark, text."""
     left = materialize(_unsettled(propose(texts, distance).withColumn("root", F.col("mark"))), "left")
-    links = left.select(F.col("mark").alias("a"), F.col("mark").alias("b")).where("false")
-    for turn in range(ROUNDS + 1):
-        if left.isEmpty():
-            break
-        if turn < ROUNDS:  # one text of each key with the others
-            order = F.xxhash64("mark", "key", F.lit(turn))
-            hubs = left.groupBy("key").agg(F.min(F.struct(order, "mark", "root")).alias("hub"))
-            left = materialize(left.join(hubs, "key").where("mark <> hub.mark"), "hubs")
-            pairs = left.where("root <> hub.root").select(F.least("mark", "hub.mark").alias("a"), F.greatest("mark", "hub.mark").alias("b"))
-        else:
-            other = left.select("key", F.col("mark").alias("b"), F.col("root").alias("other"))
-            pairs = left.withColumnRenamed("mark", "a").join(other, "key").where("a < b and root <> other").select("a", "b")
-        near = similar_pairs(materialize(pairs.distinct(), "pairs"), texts)
-        links = materialize(links.unionByName(near), "links")
-        if turn < ROUNDS:
-            left = left.select("key", "mark").join(_roots(links), "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
-            left = materialize(_unsettled(left), "left")
-    return _roots(links)
+    sets = shingle_sets(left, texts)
+    # One text of each key with the others: the one that meets most.
+    met = left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("mark").agg(F.sum("n").alias("met"))
+    hubs = left.join(met, "mark").groupBy("key").agg(F.max_by("mark", F.struct("met", "mark")).alias("hub"))
+    pairs = left.join(hubs, "key").where("mark <> hub").select(F.least("mark", "hub").alias("a"), F.greatest("mark", "hub").alias("b")).distinct()
+    links = similar_pairs(pairs, sets)
+    left = left.select("key", "mark").join(_roots(links), "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
+    left = materialize(_unsettled(left), "rest")
+    return _roots(links.unionByName(link_blocks(left, sets)))
 
 
 def _roots(links: DataFrame) -> DataFrame:
