@@ -35,7 +35,7 @@ from .common import fresh, map_columns, materialize, settle
 
 WINDOW, LITERALS, LEAST_RUN, LEAST_ITEM, COVER = 8, 4, 13, 5, 0.5
 #: The sieve has SPARSE bits a window of the benchmark, but at least and at most 2 to the power of these.
-SPARSE, LEAST_SIEVE, MOST_SIEVE = 32, 16, 26
+SPARSE, LEAST_SIEVE, MOST_SIEVE = 256, 24, 26
 SHARED = 50
 #: Units of measure that may follow a number.
 UNITS = "g kg mg lb lbs oz m km cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh percent dollar dollars cent cents euro euros pound pounds degree degrees".split()

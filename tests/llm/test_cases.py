@@ -441,8 +441,8 @@ def test_sieve_goes_by_the_number_of_windows(spark):
         place = (h % (1 << 64)) >> (64 - bits)
         assert sieve[place >> 3] >> (place & 7) & 1
     assert sum(int(x).bit_count() for x in sieve) == 3
-    many = spark.range(1 << 14).selectExpr("id as item", "xxhash64(id) as h")
-    assert decontaminate.sieve_of(many)[0] == 19
+    many = spark.range(1 << 17).selectExpr("id as item", "xxhash64(id) as h")
+    assert decontaminate.sieve_of(many)[0] == 25
 
 
 # --- The defined cases, of each operator and stage --------------------------------------------------------------------------
