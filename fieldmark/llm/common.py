@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -53,9 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/fieldmark-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/fieldmark-{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._fieldmark_path = path
@@ -68,25 +79,45 @@ def release(*frames: DataFrame | None) -> None:
     """Delete tables made by materialize() that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_fieldmark_path", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
             df._fieldmark_path = None
 
 
-def settle(make: Callable[[], DataFrame], tag: str) -> DataFrame:
-    """materialize(make()); then the tables that make() has materialised go, as only the result has read them."""
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has materialised and not released: lazy results read such tables until they are written."""
+    _delete(spark, _own_dir(spark))
+
+
+@contextlib.contextmanager
+def scratch(*, keep: Callable[[], DataFrame | None] = lambda: None) -> Iterator[None]:
+    """Tables that the block materialises go at its end, but for the one that keep() gives."""
     scopes = _SCOPES.open = getattr(_SCOPES, "open", [])
     scopes.append([])
     try:
-        done = materialize(make(), tag)
+        yield
     finally:
         own = scopes.pop()
-    with contextlib.suppress(Exception):  # what can't be deleted costs room alone
-        release(*(x for x in own if x is not done))
-    if scopes:
-        scopes[-1].append(done)
-    return done
+        kept = keep()
+        with contextlib.suppress(Exception):  # what can't be deleted costs room alone
+            release(*(x for x in own if x is not kept))
+        if kept is not None and scopes:
+            scopes[-1].append(kept)
+
+
+def settle(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """materialize(make()); then the tables that make() has materialised go, as only the result has read them."""
+    done: list[DataFrame | None] = [None]
+    with scratch(keep=lambda: done[0]):
+        done[0] = materialize(make(), tag)
+    return done[0]
+
+
+def give_back() -> None:
+    """What the driver's Python has freed goes back to the machine; allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # --- Python over Arrow batches ---------------------------------------------------------------------------------------

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_columns
+from .common import bounded_sample, map_columns, scratch
 
 SAMPLE, WORDS, MOST_GRAM, PENALTY = 1000, 50_000, 5, 7.0
 UNKNOWN = "und"
@@ -94,8 +94,6 @@ class Model:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, most_words: int = WORDS) -> Model:
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    picked = bounded_sample(known, "lang", sample, "key", "text")
-
     def count(langs: list, texts: list) -> dict[str, list]:
         sums: dict[str, Counter] = {}
         for one, text_ in zip(langs, texts):
@@ -106,9 +104,11 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
             rows[i] = [{"lang": one, "word": w, "n": n} for w, n in sums[one].items()]
         return {"c": rows}
 
-    counts = map_columns(picked, [], ["lang", "text"], count, "c array<struct<lang:string,word:string,n:long>>")
-    counts = counts.select(F.explode("c").alias("c")).groupBy("c.lang", "c.word").agg(F.sum("c.n").alias("n"))
-    found = counts.toArrow()  # words of the bounded sample
+    with scratch():
+        picked = bounded_sample(known, "lang", sample, "key", "text")
+        counts = map_columns(picked, [], ["lang", "text"], count, "c array<struct<lang:string,word:string,n:long>>")
+        counts = counts.select(F.explode("c").alias("c")).groupBy("c.lang", "c.word").agg(F.sum("c.n").alias("n"))
+        found = counts.toArrow()  # words of the bounded sample
     words: dict[str, Counter] = {}
     grams: dict[str, Counter] = {}
     for part in found.to_batches(max_chunksize=10_000):

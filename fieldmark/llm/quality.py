@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sparse
-from .common import fresh, labelled_sample, map_columns
+from .common import fresh, give_back, labelled_sample, map_columns, scratch
 
 WORD_BITS, FACTORS, CELLS = 15, 6, 12
 SAMPLE, EPOCHS, BATCH, RATE, DECAY, WORD_NORM, LEAST_DOCS = 1500, 10, 64, 0.1, 1e-4, 0.5, 5
@@ -133,19 +133,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     """From documents with a label of 0 or 1; other labels are left out. metadata are columns of docs."""
     names = [f"meta{i}" for i in range(len(metadata))]
     packed = docs.select(F.col(key).alias("key"), F.struct(F.col(text).alias("text"), *[F.col(c).cast("string").alias(n) for c, n in zip(metadata, names)]).alias("all"))
-    counts, rows = labelled_sample(packed, labels.select(F.col(key).alias("key"), F.col(label).alias("label")), "all", "label", "key", sample)
-    rows = rows.select("label", "key", F.xxhash64("text").alias("mark"), "text.text", *[f"text.{n}" for n in names])
+    given = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
 
     def make(texts: list, *meta: list) -> dict[str, list]:
         found = [features(t, m) for t, m in zip(texts, zip(*meta) if meta else [()] * len(texts))]
         return {"i": [f[0].tolist() for f in found], "x": [f[1].tolist() for f in found]}
 
-    picked = map_columns(rows, ["label", "key", "mark"], ["text", *names], make, "i array<int>, x array<float>")
-    table = picked.orderBy("key", "mark").toArrow()  # bounded by sample and by SIZE
+    with scratch():
+        counts, rows = labelled_sample(packed, given, "all", "label", "key", sample)
+        rows = rows.select("label", "key", F.xxhash64("text").alias("mark"), "text.text", *[f"text.{n}" for n in names])
+        picked = map_columns(rows, ["label", "key", "mark"], ["text", *names], make, "i array<int>, x array<float>")
+        table = picked.orderBy("key", "mark").toArrow()  # bounded by sample and by SIZE
     pairs = [(np.array(i.values, dtype=np.int32), np.array(x.values, dtype=np.float32)) for i, x in zip(table["i"], table["x"])]
     y = np.array(table["label"])
     del table
-    return train(pairs, y, counts)
+    try:
+        return train(pairs, y, counts)
+    finally:
+        give_back()
 
 
 def score_quality(df: DataFrame, model: Model, keep: list[str], text: str = "text", metadata: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sparse, subwords
-from .common import fresh, labelled_sample, map_columns
+from .common import fresh, give_back, labelled_sample, map_columns, scratch
 
 BUCKET_BITS, GRAMS, DIM = 17, (3, 4, 5), 8
 SAMPLE, LEAST_DOCS, EPOCHS, BATCH, RATE, DECAY, CALM = 1500, 5, 10, 64, 0.25, 1e-5, 200.0
@@ -123,18 +123,22 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, counts: dict
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """From documents with a label of 0 or 1; other labels are left out."""
-    counts, rows = labelled_sample(docs, labels, text, label, key, sample)
 
     def make(texts: list) -> dict[str, list]:
         found = [bucket_counts(t) for t in texts]
         return {"b": [f[0].tolist() for f in found], "n": [f[1].tolist() for f in found]}
 
-    picked = map_columns(rows.withColumn("mark", F.xxhash64("text")), ["label", "key", "mark"], ["text"], make, "b array<int>, n array<int>")
-    table = picked.orderBy("key", "mark").toArrow()  # bounded by sample and by the buckets
+    with scratch():
+        counts, rows = labelled_sample(docs, labels, text, label, key, sample)
+        picked = map_columns(rows.withColumn("mark", F.xxhash64("text")), ["label", "key", "mark"], ["text"], make, "b array<int>, n array<int>")
+        table = picked.orderBy("key", "mark").toArrow()  # bounded by sample and by the buckets
     pairs = [(np.array(b.values, dtype=np.int32), np.array(n.values, dtype=np.float32)) for b, n in zip(table["b"], table["n"])]
     y = np.array(table["label"])
     del table
-    return train(pairs, y, counts)
+    try:
+        return train(pairs, y, counts)
+    finally:
+        give_back()
 
 
 def score_toxicity(df: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
